@@ -111,15 +111,18 @@ def least_risk_margin(positive: np.ndarray, unlabelled: np.ndarray, prior: float
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, folds: int = 3) -> tuple[np.ndarray, float]:
-    """A model of all examples, its bias set on margins of examples that the fold's model hasn't seen."""
+    """The mean of the folds' models, its bias set on margins of examples that a fold's model hasn't seen."""
+    if min(len(positive), len(unlabelled)) < folds:
+        return train_nnpu(positive, unlabelled, prior)
     seen: list[list[float]] = [[], []]
-    for k in range(folds if min(len(positive), len(unlabelled)) >= folds else 0):
+    mean, mean_bias = np.zeros(1 << BITS), 0.0
+    for k in range(folds):
         fit, rest = ([[d for i, d in enumerate(docs) if (i % folds == k) == out] for docs in (positive, unlabelled)] for out in (False, True))
         weights, bias = train_nnpu(*fit, prior)
         for margins, docs in zip(seen, rest, strict=True):
             margins += (bias + float(weights[d].sum()) for d in docs)
-    weights, bias = train_nnpu(positive, unlabelled, prior)
-    return weights, bias - least_risk_margin(*map(np.array, seen), prior) if seen[0] else bias
+        mean, mean_bias = mean + weights / folds, mean_bias + bias / folds
+    return mean, mean_bias - least_risk_margin(*map(np.array, seen), prior)
 
 
 def _score(at: np.ndarray, values: np.ndarray, bias: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
