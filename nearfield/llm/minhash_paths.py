@@ -2,7 +2,8 @@
 
 Every distinct shingle set is one class (equal sets are linked by their digest, so thousands of exact
 copies cost one row). A class has a minwise signature; tree ``r`` starts by branching on coordinate ``r``.
-A node of at most ``node_limit`` classes is compared exhaustively. A larger node is branched again on
+A node of at most ``node_limit`` classes and ``shingle_limit`` shingles, which bounds a task's memory, is
+compared exhaustively. A larger node is branched again on
 ``branch`` coordinates that its path hash selects; where the largest child keeps more than half of its node
 the node is dense, branching would not shrink it, and it is cut into blocks whose pairs of blocks are
 compared instead, each in its own task. Nothing is dropped at any size.
@@ -148,42 +149,47 @@ def _coordinate(c) -> F.Column:
     return F.substring("sig", 4 * c + 1, 4) if isinstance(c, int) else F.expr(f"substring(sig, 4 * ({c}) + 1, 4)")
 
 
-def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+def _parts(limits: tuple[int, int]) -> F.Column:
+    """How many blocks a node needs for its members and their shingles to fit; 1 if it fits whole."""
+    return F.greatest(F.ceil(F.col("size") / limits[0]), F.ceil(F.col("weight") / limits[1])).cast("int")
+
+
+def _blocks(rows: DataFrame, limits: tuple[int, int]) -> DataFrame:
     """Each member once for every pair of blocks that its own block is in."""
-    parts = F.ceil(F.col("size") / limit).cast("int")
+    parts = _parts(limits)
     rows = rows.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("digest", "path"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     return rows.select("path", "tree", "digest", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk")
 
 
-def _nodes(classes: DataFrame, scratch: Scratch, limit: int, branch: int, max_depth: int) -> DataFrame:
+def _nodes(classes: DataFrame, scratch: Scratch, limits: tuple[int, int], branch: int, max_depth: int) -> DataFrame:
     """``path, tree, digest, bi, bj, blk``: the nodes to compare exhaustively, whole or in pairs of blocks."""
     roots = F.array(*[F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), _coordinate(r)).alias("path")) for r in range(TREES)])
-    level = classes.select("digest", F.explode(roots).alias("x")).select("x.path", "x.tree", "digest")
-    shared = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    level = classes.select("digest", "n", F.explode(roots).alias("x")).select("x.path", "x.tree", "digest", "n")
+    shared = level.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     level = scratch.save(level.join(shared, "path"), "level0")
     whole = lambda df: df.select("path", "tree", "digest", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"))
-    found, per = whole(level.where(F.col("size") <= limit)), (COORDS - TREES) // branch
+    found, per = whole(level.where(_parts(limits) == 1)), (COORDS - TREES) // branch
     for depth in range(1, max_depth + 1):
-        large = level.where(F.col("size") > limit)
+        large = level.where(_parts(limits) > 1)
         if large.isEmpty():
             return found
         if depth == max_depth:
-            return found.union(_blocks(large, limit))
+            return found.union(_blocks(large, limits))
         picks = [f"{TREES + b * per} + pmod(xxhash64(path, {b}), {per})" for b in range(branch)]
         kids = F.array(*[F.expr(f"xxhash64(path, {b}, substring(sig, 4 * cast({p} as int) + 1, 4))") for b, p in enumerate(picks)])
-        kids = large.join(classes.select("digest", "sig"), "digest").select("path", "size", "tree", "digest", F.explode(kids).alias("child"))
-        sizes = scratch.save(kids.groupBy("path", "size", "child").agg(F.count("*").alias("n")), f"sizes{depth}")
-        dense = sizes.groupBy("path", "size").agg(F.max("n").alias("n")).select("path", (F.col("n") * 2 > F.col("size")).alias("dense"))
+        kids = large.join(classes.select("digest", "sig"), "digest").select("path", "size", "tree", "digest", "n", F.explode(kids).alias("child"))
+        sizes = scratch.save(kids.groupBy("path", "size", "child").agg(F.count("*").alias("kept"), F.sum("n").alias("weight")), f"sizes{depth}")
+        dense = sizes.groupBy("path", "size").agg(F.max("kept").alias("kept")).select("path", (F.col("kept") * 2 > F.col("size")).alias("dense"))
         large = large.join(dense, "path")
-        found = found.union(_blocks(large.where("dense"), limit))
-        open_kids = kids.join(dense.where("not dense").select("path"), "path").join(sizes.where("n > 1").select("path", "child", "n"), ["path", "child"])
-        level = scratch.save(open_kids.select(F.col("child").alias("path"), "tree", "digest", F.col("n").alias("size")), f"level{depth}")
-        found = found.union(whole(level.where(F.col("size") <= limit)))
+        found = found.union(_blocks(large.where("dense"), limits))
+        open_kids = kids.join(dense.where("not dense").select("path"), "path").join(sizes.where("kept > 1").select("path", "child", "kept", "weight"), ["path", "child"])
+        level = scratch.save(open_kids.select(F.col("child").alias("path"), "tree", "digest", "n", F.col("kept").alias("size"), "weight"), f"level{depth}")
+        found = found.union(whole(level.where(_parts(limits) == 1)))
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), *, node_limit: int = 1024, branch: int = 6, max_depth: int = 5, slack: float = 5.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), *, node_limit: int = 4096, shingle_limit: int = 1 << 21, branch: int = 6, max_depth: int = 5, slack: float = 5.0) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``threshold`` is the least similarity as a fraction; ``component_id`` is the smallest id that links reach.
@@ -196,7 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     signed = scratch.save(texts.mapInArrow(partial(_sign, width), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.save(classes, "classes")
-    nodes = _nodes(classes, scratch, node_limit, branch, max_depth).join(classes.select("digest", "n", "sig"), "digest")
+    nodes = _nodes(classes, scratch, (node_limit, shingle_limit), branch, max_depth).join(classes.select("digest", "n", "sig"), "digest")
     keys = ["path", "bi", "bj"]
     fields = "path long, bi int, bj int, blk int, tree int, digest binary, n long, sig binary"
     sieved = nodes.select(*[x.split()[0] for x in fields.split(", ")]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_sieve, need, t), fields)
