@@ -1 +1 @@
-
+"""Column functions over feature arrays."""

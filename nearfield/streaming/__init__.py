@@ -1 +1 @@
-
+"""Structured Streaming: a fitted model applied to a stream."""
