@@ -143,18 +143,18 @@ def deletions(docs: DataFrame) -> DataFrame:
     """``ord, th, gone``: the sorted positions of the lines that each later document loses."""
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = scratch.save(slim.mapInArrow(_lines, "ord long, th long, hashes binary, words binary, anchors array<long>"), "lines")
+    lines = scratch.save(slim.mapInArrow(_lines, "ord long, th long, hashes binary, words binary, anchors array<long>").dropDuplicates(["ord", "th"]), "lines")
     held = lines.select("ord", "th", F.explode("anchors").alias("h"))
-    first = held.groupBy("h").agg(F.countDistinct("ord", "th").alias("n"), F.min(F.struct("ord", "th")).alias("first")).where("n > 1")
+    first = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("ord", "th")).alias("first")).where("n > 1")
     first = scratch.save(first, "shared")
-    held = scratch.save(held.join(first, "h").distinct(), "held")
+    held = scratch.save(held.join(first, "h"), "held")
     earlier = F.struct(F.col("e.ord"), F.col("e.th")) < F.struct(F.col("l.ord"), F.col("l.th"))
     rare = held.where(F.col("n") <= RARE)
     near = rare.alias("l").join(rare.alias("e"), (F.col("l.h") == F.col("e.h")) & earlier).select("l.ord", "l.th", F.col("e.ord").alias("e_ord"), F.col("e.th").alias("e_th"))
     far = held.where((F.col("n") > RARE) & (F.struct("ord", "th") > F.col("first"))).select("ord", "th", F.col("first.ord").alias("e_ord"), F.col("first.th").alias("e_th"))
     pairs = near.union(far).distinct()
-    own = lines.select("ord", "th", "hashes", "words").dropDuplicates(["ord", "th"])
-    other = lines.select(F.col("ord").alias("e_ord"), F.col("th").alias("e_th"), F.col("hashes").alias("e_hashes")).dropDuplicates(["e_ord", "e_th"])
+    own = lines.select("ord", "th", "hashes", "words")
+    other = lines.select(F.col("ord").alias("e_ord"), F.col("th").alias("e_th"), F.col("hashes").alias("e_hashes"))
     both = pairs.join(other, ["e_ord", "e_th"]).join(own, ["ord", "th"])
     gone = both.select("ord", "th", "hashes", "words", "e_hashes").mapInArrow(_align, "ord long, th long, gone array<int>")
     return gone.select("ord", "th", F.explode("gone").alias("at")).groupBy("ord", "th").agg(F.array_sort(F.collect_set("at")).alias("gone"))
