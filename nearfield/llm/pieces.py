@@ -151,7 +151,7 @@ class PieceCodec:
             self._known.clear()
         self._known[part] = ids
 
-    def _cut(self, part: str) -> bytes:
+    def cut(self, part: str) -> bytes:
         """The ids of a part, run by run between cuts that no merge crosses."""
         inside = self.inside
         cuts = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in inside), len(part)]
@@ -164,15 +164,19 @@ class PieceCodec:
 
     _parts = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 
+    def parts(self, text: str) -> list[str]:
+        """The normalised text in parts that encode by themselves."""
+        return self._parts.findall(SPACE + text.replace(" ", SPACE))
+
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian 16-bit numbers."""
         if not text:
             return b""
         known, out = self._known, []
-        for part in self._parts.findall(SPACE + text.replace(" ", SPACE)):
+        for part in self.parts(text):
             ids = known.get(part)
             if ids is None:
-                ids = self._cut(part)
+                ids = self.cut(part)
             out.append(ids)
         return b"".join(out)
 
