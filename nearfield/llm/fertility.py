@@ -12,7 +12,6 @@ rows are judged like any other; other columns are ignored; texts are never cut.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,14 +32,24 @@ BANDS = {
     "other": (0.20, 12.0, 0.20, 12.0, 0.95, 4.0, 14.0),
 }
 _SYMBOLS, _BLANK = "#*$%&|<>", " \t\n\x0b\x0c\r"
-_SCRIPTS = {"latin": re.compile("[A-Za-zÀ-ɏḀ-ỿ]"), "cyrillic": re.compile("[Ѐ-ԯ]"), "greek": re.compile("[Ͱ-Ͽἀ-῿]")}
+#: Code point ranges of letters.
+_SCRIPTS = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
+    "cyrillic": ((0x400, 0x52F),),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+}
 
 
 def script_of(text: str) -> str:
     """The script of most letters: latin, cyrillic, greek or other."""
     if text.isascii():
         return "latin"
-    counts = {k: len(p.findall(text)) for k, p in _SCRIPTS.items()}
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = {}
+    for script, ranges in _SCRIPTS.items():
+        counts[script] = sum(int(np.count_nonzero((points - np.uint32(lo)) <= hi - lo)) for lo, hi in ranges)
+        if 2 * counts[script] >= len(points):  # most characters, so most letters too
+            return script
     best = max(counts, key=counts.get)
     return best if 2 * counts[best] >= sum(map(str.isalpha, text)) else "other"
 
