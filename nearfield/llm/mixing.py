@@ -42,7 +42,7 @@ def _running(col: str, order: list[Column]) -> Column:
 
 
 def water_fill(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """``_source, source_size, target``. Sources in code point order, null last, take ``weights`` in turn and
+    """``_source, _source_size, _target``. Sources in code point order, null last, take ``weights`` in turn and
     share the sum of all sizes; a target stops at ``cap`` sizes and the excess is shared anew by weight.
 
     Sources are filled in order of the level at which they stop: one stops if its size times ``cap`` is at
@@ -50,14 +50,14 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], cap: float) -> Da
     """
     at = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
     s = sources.withColumn("_wt", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(at, F.lit(len(weights))) + 1).cast("int")))
-    s = s.withColumn("_stop", F.col("source_size") * F.lit(float(cap))).withColumn("_level", F.col("_stop") / F.col("_wt"))
+    s = s.withColumn("_stop", F.col("_source_size") * F.lit(float(cap))).withColumn("_level", F.col("_stop") / F.col("_wt"))
     order = [F.col("_level"), F.col("_source").asc_nulls_last()]
     whole = Window.partitionBy()
-    s = s.withColumn("_left", F.sum("source_size").over(whole) - _running("_stop", order)).withColumn("_wleft", F.sum("_wt").over(whole) - _running("_wt", order))
+    s = s.withColumn("_left", F.sum("_source_size").over(whole) - _running("_stop", order)).withColumn("_wleft", F.sum("_wt").over(whole) - _running("_wt", order))
     s = s.withColumn("_full", F.col("_stop") * F.col("_wleft") <= F.col("_left") * F.col("_wt"))
     open_ = ~F.col("_full")
-    rate = (F.sum("source_size").over(whole) - F.sum(F.when(F.col("_full"), F.col("_stop")).otherwise(0.0)).over(whole)) / F.sum(F.when(open_, F.col("_wt"))).over(whole)
-    return s.select("_source", "source_size", "_weighted", F.when(F.col("_full"), F.col("_stop")).otherwise(rate * F.col("_wt")).cast("double").alias("target"))
+    rate = (F.sum("_source_size").over(whole) - F.sum(F.when(F.col("_full"), F.col("_stop")).otherwise(0.0)).over(whole)) / F.sum(F.when(open_, F.col("_wt"))).over(whole)
+    return s.select("_source", "_source_size", "_weighted", F.when(F.col("_full"), F.col("_stop")).otherwise(rate * F.col("_wt")).cast("double").alias("_target"))
 
 
 def _with_ratio(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
@@ -67,7 +67,7 @@ def _with_ratio(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, cap: float) -> DataFrame:
     """Certain copies, the chance of one more, the rank and its bin (null where there is no chance)."""
-    m = F.least(F.lit(float(cap)), F.when(F.col("_weighted") > 0, F.col("target") / F.col("_weighted") * F.col("_w")).otherwise(0.0))
+    m = F.least(F.lit(float(cap)), F.when(F.col("_weighted") > 0, F.col("_target") / F.col("_weighted") * F.col("_w")).otherwise(0.0))
     rows = rows.withColumn("_m", m).withColumn("_sure", F.floor("_m")).withColumn("_p", F.col("_m") - F.col("_sure"))
     x = (F.col("_u") + 0.5) / F.lit(float(1 << 52))
     rank = F.when(F.col("_p") > 0, (x / (1 - x)) * ((1 - F.col("_p")) / F.col("_p")))
@@ -82,14 +82,14 @@ class Mix:
         self.cap, self.weight = cap, weight
         scratch = Scratch(docs.sparkSession, "mix")
         self.slim = scratch.save(_sized(docs.select("doc_id", "text", "source", *[weight] * bool(weight)), weight).select("doc_id", "source", "_source", "_size", "_w", "_u", "_id", "_tie"), "slim")
-        sources = self.slim.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_w") * F.col("_size")).alias("_weighted"))
+        sources = self.slim.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.sum(F.col("_w") * F.col("_size")).alias("_weighted"))
         targets = scratch.save(water_fill(sources, weights, cap), "targets")
         self.n_sources = targets.count()
         ranked = _ranked(_with_ratio(self.slim, targets, self.n_sources), cap)
         bins = ranked.groupBy("_source", "_bin").agg(F.sum("_size").alias("words"), F.sum(F.col("_size") * F.col("_sure")).alias("sure"))
         w = Window.partitionBy("_source")
         before = F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("words"))).over(w.orderBy(F.col("_bin").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        bins = _with_ratio(bins.withColumn("sure", F.sum("sure").over(w)).withColumn("before", before), targets, self.n_sources).withColumn("rest", F.col("target") - F.col("sure"))
+        bins = _with_ratio(bins.withColumn("sure", F.sum("sure").over(w)).withColumn("before", before), targets, self.n_sources).withColumn("rest", F.col("_target") - F.col("sure"))
         cut = bins.where(F.col("_bin").isNotNull()).groupBy("_source").agg(F.max("rest").alias("_rest"), F.max(F.when(F.col("before") < F.col("rest"), F.struct("_bin", "before"))).alias("_at"))
         table = scratch.save(targets.join(cut.withColumnRenamed("_source", "_c"), F.col("_source").eqNullSafe(F.col("_c")), "left").drop("_c"), "cuts")
         edge = _ranked(_with_ratio(self.slim, table, self.n_sources), cap).where(F.col("_bin") == F.col("_at._bin"))
@@ -132,7 +132,7 @@ def _repeat(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     plan = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.copies(plan.slim).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+    return plan.copies(plan.slim).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 OP1_SQL = r"""
