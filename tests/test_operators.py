@@ -125,9 +125,10 @@ def kruskal(d):
     return total, edges
 
 
-@pytest.mark.parametrize("k", [1, 4])
-def test_spanning_tree_is_minimal(spark, cloud, k):
+@pytest.mark.parametrize("k, one_task", [(1, 10**6), (4, 10**6), (1, 0), (4, 0)])
+def test_spanning_tree_is_minimal(spark, cloud, monkeypatch, k, one_task):
     x, p = cloud
+    monkeypatch.setattr(hierarchy, "ONE_TASK_EDGES", one_task)
     d = dist(x)
     core = np.sort(d, 1)[:, k - 1]
     w = np.maximum(d, np.maximum(core[:, None], core[None])) if k > 1 else d
