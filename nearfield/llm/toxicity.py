@@ -4,7 +4,8 @@ A linear classifier over hashed lower-cased words and word starts (present or no
 unlabelled text alone. With prior ``p`` and logistic loss ``l``, the risk is
 ``p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])``; where the second part falls under zero the step goes back
 along its gradient instead, so a flexible model can't drive the risk below zero on memorised examples. An
-l1 step keeps only words that tell, which is what keeps long clean texts from adding up noise.
+l1 step, scaled to what chance would do in as many examples, keeps only words that tell, which is what keeps
+long clean texts from adding up noise.
 
 Labels tell which examples are confirmed and give the prior, their mean; negative labels aren't used.
 Samples are bounded as ``learning`` says.
@@ -44,7 +45,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([word_ids(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["y", "ids"])
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 40, steps: int = 400, rate: float = 0.5, l1: float = 1e-3, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, float]:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 40, steps: int = 400, rate: float = 0.5, l1: float = 2.0, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights by feature number and the bias, by mini-batch steps with Adagrad rates, at least ``steps``."""
     weights = np.zeros(1 << BITS, np.float32)
     if not positive or not 0 < prior < 1:
@@ -62,6 +63,8 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     (ps, pc), (us, uc) = rows(positive), rows(unlabelled)
     w, g2 = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-6)
     w[-1] = np.log(prior / (1 - prior))
+    # what chance alone moves a feature's gradient by, times l1: a few examples can't carry rare words
+    chance = np.append(l1 * prior * np.sqrt(df[used] / (len(positive) + len(unlabelled)) / len(positive)), 0.0)
     rng = np.random.default_rng(seed)
 
     def pick(starts, cols, which):
@@ -91,8 +94,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
             g2 += grad * grad
             step = rate / np.sqrt(g2)
             w -= 0.1 * step * grad
-            shrink = np.minimum(0.1 * step * l1, np.abs(w))
-            shrink[-1] = 0
+            shrink = np.minimum(0.1 * step * chance, np.abs(w))
             w -= np.sign(w) * shrink
     weights[used] = w[:-1]
     return weights, float(w[-1])
