@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.text import fold
 
 SAMPLE, DICTIONARY, CHUNK, LEVEL, MARGIN = 200, 96 << 10, 4096, 12, 0.01
+#: A text under SHORT bytes is written REPEAT times: stored raw, as a few words would be, it has one size in
+#: every language.
+SHORT, REPEAT = 512, 3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -63,6 +66,8 @@ class Identifier:
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0
         raw = text.lower().encode("utf-8", "surrogatepass")
+        if len(raw) < SHORT:
+            raw = b"\n".join([raw] * REPEAT)
         chunks = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)]
         sizes = [sum(len(t.compress(c)) for c in chunks) for t in self.tools]
         best = min(range(len(sizes)), key=sizes.__getitem__)
