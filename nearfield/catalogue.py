@@ -402,6 +402,12 @@ def kmeans_3_steps(spark, sf):
     return _centroids(spark, fit.centroids)
 
 
+@query(_lloyd_sql(3))
+def hamerly_3_steps(spark, sf):
+    options = kmeans.KMeansOptions(max_iter=3, early_stopping=False, step="hamerly")
+    return _centroids(spark, kmeans.KMeans(10, options).fit(embeddings(spark, sf), start=start(spark, sf)).centroids)
+
+
 @query()
 def kmeans_fit(spark, sf):
     return _centroids(spark, kmeans.KMeans(10, kmeans.KMeansOptions(max_iter=30)).fit(embeddings(spark, sf), seed=1).centroids)
@@ -535,6 +541,12 @@ def kdtree_nodes(spark, sf):
     return kdtree.build(parts(spark, sf), 2)[1].select("node_id", "depth", "axis", "cut", "n")
 
 
+@query("SELECT p_partkey AS id, round(sqrt(pow(p_size - 15.0, 2) + pow(p_retailprice::DOUBLE - 1200.0, 2)), 6) AS dist FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1400")
+def kdtree_box_search(spark, sf):
+    rows, nodes = kdtree.build(parts(spark, sf), 2)
+    return kdtree.box_search(rows, nodes, [10, 1000], [20, 1400]).select("id", rounded("dist").alias("dist"))
+
+
 # -- streaming ----------------------------------------------------------------------------------------------
 
 STREAM_MODEL = [[0.0], [20.0], [60.0], [150.0]]

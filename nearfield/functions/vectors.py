@@ -33,6 +33,15 @@ def manhattan(x: Column, y: Column, d: int | None = None) -> Column:
     return _pairwise(x, y, lambda a, b: F.abs(a - b), d)
 
 
+def unsigned_manhattan(x: Column, y: Column, d: int | None = None) -> Column:
+    """Manhattan without a negative intermediate: the larger less the smaller."""
+    return _pairwise(x, y, lambda a, b: F.greatest(a, b) - F.least(a, b), d)
+
+
+def unsigned_manhattan_norm(x: Column) -> Column:
+    return _total(x)
+
+
 def dot(x: Column, y: Column, d: int | None = None) -> Column:
     return _pairwise(x, y, lambda a, b: a * b, d)
 

@@ -7,6 +7,9 @@ share of all edges. A round's edges go to a scratch table, and the loop ends whe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,35 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's long edges as stars round the smallest node of each of its components: one edge a node."""
+    parent: dict[int, int] = {}
+    for b in batches:
+        for ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            roots = []
+            for x in ends:
+                parent.setdefault(x, x)
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                roots.append(x)
+            parent[max(roots)] = min(roots)
+    u, v = [], []
+    for x in sorted(parent):  # parents are smaller, so theirs is final
+        parent[x] = parent[parent[x]]
+        if parent[x] != x:
+            u.append(x)
+            v.append(parent[x])
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def contracted(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``src, dst`` with the same components as the long ``edges``, at most one edge a node and task, so that
+    what dense neighbourhoods hold never reaches a shuffle. A task's memory grows with its nodes alone."""
+    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
+    return pairs.mapInArrow(_forest, "u long, v long").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node that has an edge; ``component`` is the smallest node id reached.
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.operators.components import connected_components
+from nearfield.operators.components import connected_components, contracted
 from nearfield.operators.neighbors import within_radius, within_radius_grid
 from nearfield.plans.scratch import Scratch
 
+#: So many contracted links, at most, are joined in one task, which saves most rounds.
+ONE_TASK_EDGES = 2_000_000
+
 
 @dataclass(frozen=True)
 class DbscanOptions:
@@ -34,7 +37,11 @@ def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), grid_wid
     core = scratch.save(core_points(near, options.min_samples), "core")
     to_core = near.join(core, "id")
     links = to_core.join(core.select(F.col("id").alias("q")), "q")
-    comp = connected_components(links.where("q < id"), "q", "id")
+    forest = scratch.save(contracted(links.where("q < id"), "q", "id"), "forest")
+    if forest.count() <= ONE_TASK_EDGES:  # one task's stars are the components
+        comp = contracted(forest.coalesce(1)).toDF("node", "component")
+    else:
+        comp = connected_components(forest)
     comp = core.join(comp, core["id"] == comp["node"], "left").select("id", F.coalesce("component", "id").alias("entry"))
     entries = comp.select("entry").distinct().withColumn("label", F.row_number().over(Window.orderBy("entry")).cast("long"))
     comp = scratch.save(comp.join(entries, "entry"), "comp")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.functions import vectors as v
 from nearfield.plans.scratch import Scratch
 
 AxisRule = Callable[[int, int, list[int]], dict[str, Column]]
@@ -58,3 +59,34 @@ def build(points: DataFrame, d: int, *, bucket_size: int = 40, max_depth: int =
         if rows.isEmpty():
             break
     return done, nodes.select("node_id", "depth", "axis", "cut", "n", "lo", "hi")
+
+
+def descend(points: DataFrame, nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+    """``id, features, node_id``: the leaf that each point falls into, left of a cut where it is smaller.
+    One join a level with the nodes of that level."""
+    at = points.select("id", "features").withColumn("node_id", F.lit(1).cast("long"))
+    for depth in range(max_depth):
+        cuts = nodes.where((F.col("depth") == depth) & F.col("axis").isNotNull()).select("node_id", "axis", "cut")
+        value = F.element_at("features", (F.col("axis") + 1).cast("int"))
+        child = F.when(F.col("axis").isNull(), F.col("node_id")).otherwise(F.col("node_id") * 2 + (value >= F.col("cut")).cast("long"))
+        at = at.join(cuts, "node_id", "left").select("id", "features", child.alias("node_id"))
+    return at
+
+
+def _in_leaves(rows: DataFrame, nodes: DataFrame, keep: Column) -> DataFrame:
+    leaves = nodes.where(F.col("axis").isNull() & keep).select("node_id")
+    return rows.join(leaves, "node_id", "left_semi")
+
+
+def box_search(rows: DataFrame, nodes: DataFrame, lo: list[float], hi: list[float]) -> DataFrame:
+    """``id, dist`` to the centre of the closed box, for the rows inside; only leaves that meet it are read."""
+    low, high = (F.array(*[F.lit(float(a)) for a in side]) for side in (lo, hi))
+    found = _in_leaves(rows, nodes, v.box_box_distance(F.col("lo"), F.col("hi"), low, high) == 0)
+    return found.select("id", v.box_distance(F.col("features"), low, high).alias("dist")).where(F.col("dist").isNotNull())
+
+
+def ball_search(rows: DataFrame, nodes: DataFrame, centre: list[float], radius: float) -> DataFrame:
+    """``id, dist`` of the rows strictly nearer than ``radius``; only leaves that come that near are read."""
+    at = F.array(*[F.lit(float(a)) for a in centre])
+    found = _in_leaves(rows, nodes, v.box_box_distance(F.col("lo"), F.col("hi"), at, at) < radius)
+    return found.select("id", v.ball_distance(F.col("features"), at, F.lit(float(radius))).alias("dist")).where(F.col("dist").isNotNull())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.operators.assign import with_nearest
 from nearfield.operators.neighbors import distances
 from nearfield.operators.sampling import kmeans_plus_plus
+from nearfield.plans.scratch import Scratch
 from nearfield.points import matrix, width
 
 
@@ -24,6 +25,8 @@ class KMeansOptions:
     patience: int = 0
     tolerance: float = 0.0
     n_init: int = 1
+    #: "lloyd", or "hamerly": the same steps with distance bounds, where a row equally near to two keeps its cluster.
+    step: str = "lloyd"
 
 
 def _partial(model: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +63,57 @@ def lloyd_step(points: DataFrame, model: np.ndarray) -> tuple[np.ndarray, float]
     return out, loss
 
 
+def _bounded(model: np.ndarray, moved: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their cluster, an upper bound of the distance to it and a lower bound of all others. Only rows
+    whose bounds overlap have distances computed; ``moved`` is how far each centroid went (none: first step)."""
+    k = len(model)
+    gaps = distances(model, model)
+    np.fill_diagonal(gaps, np.inf)
+    half = gaps.min(1) / 2 if k > 1 else np.full(k, np.inf)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = matrix(b.column("features"))
+        if moved is None:
+            at, upper, lower = np.zeros(len(x), np.int64), np.full(len(x), np.inf), np.full(len(x), -np.inf)
+        else:
+            at = b.column("cluster").to_numpy().copy()
+            upper, lower = b.column("upper").to_numpy() + moved[at], b.column("lower").to_numpy() - moved.max()
+        far = np.flatnonzero(upper >= np.maximum(lower, half[at]) * (1 - 1e-12))
+        if len(far):
+            d = distances(x[far], model)
+            near, own = d.argmin(1), at[far]
+            rows = np.arange(len(far))
+            if moved is not None:
+                near = np.where(d[rows, own] == d[rows, near], own, near)
+            at[far], upper[far] = near, d[rows, near]
+            d[rows, near] = np.inf
+            lower[far] = d.min(1)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("features"), pa.array(at), pa.array(upper), pa.array(lower)], names=["id", "features", "cluster", "upper", "lower"])
+
+
+class Hamerly:
+    """Assignment kept with bounds between steps, in one scratch table a step. It saves distances where there
+    are many centroids, and costs that write."""
+
+    def __init__(self, points: DataFrame):
+        self.rows, self.moved, self.turn = points.select("id", "features"), None, 0
+        self.scratch = Scratch(points.sparkSession, "hamerly")
+
+    def step(self, model: np.ndarray) -> np.ndarray:
+        """The means of the rows of each centroid; one without rows stays where it is."""
+        names = "id long, features array<double>, cluster long, upper double, lower double"
+        self.rows = self.scratch.save(self.rows.mapInArrow(partial(_bounded, model, self.moved), names), f"step{self.turn}")
+        if self.turn:
+            self.scratch.drop(f"step{self.turn - 1}")
+        self.turn += 1
+        out, d = np.array(model, float), model.shape[1]
+        for r in self.rows.groupBy("cluster").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(d)]).alias("mean")).collect():
+            out[r.cluster] = r["mean"]
+        self.moved = np.sqrt(((out - model) ** 2).sum(1))
+        return out
+
+
 class KMeans:
     """``initialiser`` takes points, k and a seed and returns k starts."""
 
@@ -70,17 +124,22 @@ class KMeans:
 
     def fit(self, points: DataFrame, seed: int = 0, start: np.ndarray | None = None) -> KMeans:
         width(points)
+        if self.options.step not in ("lloyd", "hamerly"):
+            raise ValueError(self.options.step)
         o = self.options
         for run in range(1 if start is not None else o.n_init):
             c = np.array(start, float) if start is not None else self.initialiser(points, self.k, seed + run)
             still = 0
+            bounds = Hamerly(points) if o.step == "hamerly" else None
             for _ in range(o.max_iter):
-                new, _ = lloyd_step(points, c)
+                new = bounds.step(c) if bounds else lloyd_step(points, c)[0]
                 same = np.abs(new - c).max() <= o.tolerance
                 c = new
                 still = still + 1 if same else 0
                 if o.early_stopping and still > o.patience:
                     break
+            if bounds:
+                bounds.scratch.drop()
             loss = lloyd_step(points, c)[1]
             if loss < self.loss:
                 self.centroids, self.loss = c, loss

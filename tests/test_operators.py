@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as v
 from nearfield.operators import density, hierarchy, kdtree, kmeans, kmedoids, neighbors, quality, sampling, stats
-from nearfield.operators.components import connected_components
+from nearfield.operators.components import connected_components, contracted
 from nearfield.points import to_points, width
 from nearfield.sources import files
 
@@ -210,3 +210,47 @@ def test_files_round_trip(spark, cloud, tmp_path):
     assert np.allclose([r.features for r in back], x, atol=1e-6)
     with pytest.raises(ValueError):
         files.read_points(spark, "x.csv")
+
+
+def test_bounded_steps_equal_plain_steps(spark, cloud):
+    x, p = cloud
+    fits = [kmeans.KMeans(3, kmeans.KMeansOptions(max_iter=20, step=s)).fit(p, start=x[[0, 1, 25]]) for s in ("lloyd", "hamerly")]
+    assert np.allclose(fits[0].centroids, fits[1].centroids) and fits[0].loss == pytest.approx(fits[1].loss)
+    with pytest.raises(ValueError):
+        kmeans.KMeans(3, kmeans.KMeansOptions(step="other")).fit(p, start=x[:3])
+
+
+def test_medoids_from_points_and_from_their_distances(spark, cloud):
+    x, p = cloud
+    own, given = kmedoids.KMedoids(3, n_init=2).fit(p), kmedoids.KMedoids(3).fit(p, pairs=neighbors.pairwise(p))
+    assert own.loss <= given.loss + 1e-9 and sorted(given.ids) == sorted(kmedoids.KMedoids(3).fit(p).ids)
+    near = dist(x)[:, own.ids]
+    assert own.loss == pytest.approx(near.min(1).sum())
+    assert [r.cluster for r in own.predict(p).orderBy("id").collect()] == near.argmin(1).tolist()
+    assert [r.dist for r in own.forward(p).orderBy("id").collect()] == pytest.approx(near.min(1).tolist())
+
+
+def test_tree_searches_equal_scans(spark, cloud):
+    x, p = cloud
+    rows, nodes = kdtree.build(p, 2, bucket_size=8, max_depth=5)
+    rows, nodes = rows.persist(), nodes.persist()
+    assert sorted(kdtree.descend(p, nodes, 5).select("id", "node_id").collect()) == sorted(rows.select("id", "node_id").collect())
+    box = {r.id for r in kdtree.box_search(rows, nodes, [-0.3, -0.3], [4.1, 0.2]).collect()}
+    assert box == set(np.flatnonzero(((x >= [-0.3, -0.3]) & (x <= [4.1, 0.2])).all(1)).tolist())
+    ball = {r.id: r.dist for r in kdtree.ball_search(rows, nodes, [3.8, 0.1], 0.5).collect()}
+    d = np.sqrt(((x - [3.8, 0.1]) ** 2).sum(1))
+    assert ball == pytest.approx({k: d[k] for k in np.flatnonzero(d < 0.5).tolist()})
+
+
+def test_contraction_keeps_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [tuple(map(int, rng.integers(0, 80, 2))) for _ in range(60)]
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    want = {tuple(r) for r in connected_components(df).collect()}
+    assert {tuple(r) for r in connected_components(contracted(df)).collect()} == want
+    assert {tuple(r) for r in connected_components(contracted(df.coalesce(1))).collect()} == want
+
+
+def test_unsigned_distances(spark):
+    a = lambda *x: F.array(*[F.lit(k) for k in x])
+    assert tuple(spark.range(1).select(v.unsigned_manhattan(a(1, 9), a(4, 2)), v.unsigned_manhattan_norm(a(4, 2))).first()) == (10.0, 6.0)
