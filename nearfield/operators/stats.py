@@ -26,13 +26,19 @@ def variance(points: DataFrame, d: int, mask: list[int] | None = None) -> DataFr
     return by_feature(points, d, mask, value=F.var_samp)
 
 
+def population_variance(points: DataFrame, d: int, mask: list[int] | None = None) -> DataFrame:
+    """Variance with division by n."""
+    return by_feature(points, d, mask, value=F.var_pop)
+
+
 def argmax_variance(points: DataFrame, d: int, mask: list[int] | None = None) -> DataFrame:
     """The feature of the largest variance, the first of equals."""
     return variance(points, d, mask).agg(F.max_by("pos", F.struct("value", -F.col("pos"))).alias("pos"))
 
 
-def tight_box(points: DataFrame, d: int) -> DataFrame:
-    return by_feature(points, d, None, lo=F.min, hi=F.max)
+def tight_box(points: DataFrame, d: int, mask: list[int] | None = None) -> DataFrame:
+    """``pos, lo, hi``; one feature in ``mask`` gives its segment."""
+    return by_feature(points, d, mask, lo=F.min, hi=F.max)
 
 
 def longest_axis(points: DataFrame, d: int, mask: list[int] | None = None) -> DataFrame:

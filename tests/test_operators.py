@@ -46,6 +46,8 @@ def test_statistics_of_three_by_three(spark):
     p = frame(spark, np.arange(1, 10).reshape(3, 3))
     assert [r.value for r in stats.mean(p, 3).orderBy("pos").collect()] == [4, 5, 6]
     assert [r.value for r in stats.variance(p, 3).orderBy("pos").collect()] == [9, 9, 9]
+    assert [r.value for r in stats.population_variance(p, 3).orderBy("pos").collect()] == [6, 6, 6]
+    assert tuple(stats.tight_box(p, 3, [1]).first()) == (1, 2, 8)
     assert stats.argmax_variance(p, 3).first().pos == 0
     assert stats.variance(frame(spark, np.arange(1, 10).reshape(9, 1)), 1).first().value == 7.5
 
