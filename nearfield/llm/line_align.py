@@ -9,7 +9,9 @@ documents makes one pair a document, and no count is capped.
 A pair is aligned by patience diff: lines unique on both sides, the longest increasing run of them, then the
 same between neighbours, with equal lines next to an anchor taken along. The common lines that the alignment
 finds form blocks of consecutive lines on both sides; blocks of at least ``BLOCK_WORDS`` words are deleted
-from the later document. A line is compared with its outer blanks off and runs of blanks as one.
+from the later document. Where common lines are left, every other run of consecutive lines of at least
+``BLOCK_WORDS`` words that both hold is found by its hashes and deleted too, so that a passage that crosses
+the alignment goes. A line is compared with its outer blanks off and runs of blanks as one.
 
 Edges: a null text has no lines and stays null; a text whose lines all go becomes empty; rows of one id and
 text are one document and share their deletions; a null id orders last; other columns are kept as they are;
@@ -107,24 +109,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of the shortest runs of at least ``least`` words from each line on and up to each line.
+    A run that reaches ``least`` words is covered by those of them that lie in it. No line is blank."""
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends, starts = np.searchsorted(sums, sums[:-1] + least), np.searchsorted(sums, sums[1:] - least, side="right") - 1
+    on = {(k, e) for k, e in enumerate(ends.tolist()) if e < len(sums)}
+    return sorted(on | {(s, k + 1) for k, s in enumerate(starts.tolist()) if s >= 0})
+
+
+def common_runs(a: list[int], b: list[int], words: np.ndarray) -> set[int]:
+    """Positions of ``b`` in runs of at least ``BLOCK_WORDS`` words that ``a`` holds anywhere."""
+    raw_a, raw_b = (np.array(side, np.int64).tobytes() for side in (a, b))
+    held: dict[int, set[bytes]] = {}
+    out: set[int] = set()
+    for s, e in shortest_runs(words, BLOCK_WORDS):
+        n = e - s
+        if n not in held:
+            held[n] = {raw_a[8 * k : 8 * (k + n)] for k in range(len(a) - n + 1)}
+        if raw_b[8 * s : 8 * e] in held[n]:
+            out.update(range(s, e))
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], words: np.ndarray) -> list[int]:
-    """Positions of ``b`` in blocks that are aligned with ``a`` and long enough. Blank lines are passed over.
-    What a block's removal leaves is aligned again until nothing is found, so moved passages go too."""
+    """Positions of ``b`` in blocks that ``a`` holds too and that are long enough. Blank lines are passed over.
+    Where the alignment leaves common lines, blocks that it can't place, moved or repeated, are searched for."""
     keep_a, keep_b = ([k for k, h in enumerate(side) if h] for side in (a, b))
-    left, gone = list(range(len(keep_b))), set()
-    in_a = [a[k] for k in keep_a]
-    while True:
-        found = [(i, left[j]) for i, j in patience(in_a, [b[keep_b[j]] for j in left])]
-        start, before = 0, len(gone)
-        for k in range(1, len(found) + 1):
-            if k == len(found) or found[k] != (found[k - 1][0] + 1, found[k - 1][1] + 1):
-                block = [j for _, j in found[start:k]]
-                if sum(int(words[keep_b[j]]) for j in block) >= BLOCK_WORDS:
-                    gone.update(block)
-                start = k
-        if len(gone) == before:
-            return sorted(keep_b[j] for j in gone)
-        left = [j for j in left if j not in gone]
+    in_a, in_b, gone = [a[k] for k in keep_a], [b[k] for k in keep_b], set()
+    found, start = patience(in_a, in_b), 0
+    for k in range(1, len(found) + 1):
+        if k == len(found) or found[k] != (found[k - 1][0] + 1, found[k - 1][1] + 1):
+            block = [j for _, j in found[start:k]]
+            if sum(int(words[keep_b[j]]) for j in block) >= BLOCK_WORDS:
+                gone.update(block)
+            start = k
+    if not {h for j, h in enumerate(in_b) if j not in gone}.isdisjoint(in_a):
+        gone |= common_runs(in_a, in_b, words[keep_b])
+    return sorted(keep_b[j] for j in gone)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,22 @@ def test_shared_lines_go_from_the_later_document(spark):
     assert left[10] == rows[4][1] and all(left[10 + k] == f"kept {k}" for k in range(1, 20))
 
 
+def keyed(*lines):
+    text = "\n".join(lines)
+    return line_align.line_keys(text)[0].tolist(), line_align.line_keys(text)[1]
+
+
+LINE = " ".join(f"p{k}" for k in range(60))
+
+
+def test_a_passage_that_crosses_short_lines_goes():
+    (a, _), (b, words) = keyed(LINE, "x", "s one", "y", "s two"), keyed("s one", "u", "s two", "v", LINE)
+    assert line_align.common_blocks(a, b, words) == [4]
+    part = [f"{c} of six words or so" for c in "abcd"]  # a passage in short lines
+    (a, _), (b, words) = keyed(*part, "x", "s one", "y", "s two", "z", "s three", "w", "s four", "k", "s five"), keyed("s one", "u", "s two", "v", "s three", "t", "s four", "r", "s five", *part)
+    assert line_align.common_blocks(a, b, words) == [9, 10, 11, 12]
+
+
 def test_base_counts_equal_brute_force(texts):
     words = WordHash()
     for t in [*texts.values(), "a b c a b c", "x\nx\n\n \n", "a a a a", ""]:
