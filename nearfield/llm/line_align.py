@@ -11,7 +11,8 @@ same between neighbours, with equal lines next to an anchor taken along. The com
 finds form blocks of consecutive lines on both sides; blocks of at least ``BLOCK_WORDS`` words are deleted
 from the later document. Where common lines are left, every other run of consecutive lines of at least
 ``BLOCK_WORDS`` words that both hold is found by its hashes and deleted too, so that a passage that crosses
-the alignment goes. A line is compared with its outer blanks off and runs of blanks as one.
+the alignment goes, and so does one that either document repeats. A line is compared with its outer blanks
+off and runs of blanks as one.
 
 Edges: a null text has no lines and stays null; a text whose lines all go becomes empty; rows of one id and
 text are one document and share their deletions; a null id orders last; other columns are kept as they are;

@@ -117,6 +117,15 @@ def test_a_passage_that_crosses_short_lines_goes():
     assert line_align.common_blocks(a, b, words) == [9, 10, 11, 12]
 
 
+def test_every_copy_of_a_repeated_line_goes(spark):
+    (a, _), (b, words) = keyed("q0", LINE, "q1", LINE, "q2"), keyed("r0", LINE, "r1")
+    assert line_align.common_blocks(a, b, words) == [1]
+    assert line_align.common_blocks(b, a, np.array([1, 60, 1, 60, 1], np.int32)) == [1, 3]
+    rows = [(1, f"q0\n{LINE}\nq1\n{LINE}\nq2")] + [(k, f"r{k}\n{LINE}\nt{k}\n{LINE}\nu{k}") for k in range(2, 12)]
+    left = {r.doc_id: r.text for r in line_align.remove_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == rows[0][1] and all(left[k] == f"r{k}\nt{k}\nu{k}" for k in range(2, 12))
+
+
 def test_base_counts_equal_brute_force(texts):
     words = WordHash()
     for t in [*texts.values(), "a b c a b c", "x\nx\n\n \n", "a a a a", ""]:
