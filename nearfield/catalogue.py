@@ -169,6 +169,14 @@ def levenshtein_items(spark, sf):
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", v.levenshtein(F.col("s"), F.col("t")).alias("value"))
 
 
+@query()
+def levenshtein_texts(spark, sf):
+    """Whole texts by code points. DuckDB counts bytes, so the query with SQL above leaves non-ASCII ones out."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    a, b = b.select(F.col("item_id").alias("i"), F.col("text").alias("s")), b.select(F.col("item_id").alias("j"), F.col("text").alias("t"))
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", v.levenshtein(F.col("s"), F.col("t")).alias("value"))
+
+
 @query(f"WITH {PT} SELECT id, round(sqrt(a * a + b * b), 6) AS radius, round(atan2(b, a), 6) AS angle FROM P")
 def polar(spark, sf):
     p = v.polar(F.col("features"))
