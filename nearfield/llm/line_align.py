@@ -1,10 +1,12 @@
 """Operator 4: line dedup by pairwise alignment.
 
-Documents are ordered by id (then by a hash of the text). A line of at least ``ANCHOR_WORDS`` words that
-several documents hold makes pairs of a later and an earlier document: with every earlier holder while the
-line is rare (at most ``RARE`` holders), and beyond that with its first holder alone, which is enough to
-find it, since the first holder never loses the line to an earlier one. So a line held by a third of all
-documents makes one pair a document, and no count is capped.
+Documents are ordered by id (then by a hash of the text). Anchors are the shortest runs of consecutive lines
+of at least ``ANCHOR_WORDS`` words that begin or end at some line: a long line by itself, short ones
+together. An anchor that several documents hold makes pairs of a later and an earlier document: with every
+earlier holder while it is rare (at most ``RARE`` holders), and beyond that with its first holder alone, which
+is enough to find it, since the first holder is compared with its whole text. So a line held by a third of all
+documents makes one pair a document, and no count is capped. Every block that can be deleted is covered by
+anchors, so each is found.
 
 A pair is aligned by patience diff: lines unique on both sides, the longest increasing run of them, then the
 same between neighbours, with equal lines next to an anchor taken along. The common lines that the alignment
@@ -50,6 +52,24 @@ def line_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64).astype(np.int64), np.array(words, np.int32)
 
 
+def shortest_runs(words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of the shortest runs of at least ``least`` words from each line on and up to each line.
+    A run that reaches ``least`` words is covered by those of them that lie in it. No line is blank."""
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends, starts = np.searchsorted(sums, sums[:-1] + least), np.searchsorted(sums, sums[1:] - least, side="right") - 1
+    on = {(k, e) for k, e in enumerate(ends.tolist()) if e < len(sums)}
+    return sorted(on | {(s, k + 1) for k, s in enumerate(starts.tolist()) if s >= 0})
+
+
+def anchors(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The distinct hashes of a document's anchors; that of a single line is the line's own."""
+    full = words > 0
+    h, raw = hashes[full], hashes[full].tobytes()
+    runs = shortest_runs(words[full], ANCHOR_WORDS)
+    several = [xxhash.xxh3_64_intdigest(raw[8 * s : 8 * e]) for s, e in runs if e - s > 1]
+    return np.unique(np.concatenate([h[words[full] >= ANCHOR_WORDS], np.array(several, np.uint64).astype(np.int64)]))
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document: its place in the order, all its lines, and the hashes that can be anchors."""
     schema = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("hashes", pa.binary()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64()))])
@@ -58,7 +78,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             if text is not None:
                 h, w = line_keys(text)
-                rows.append((_LAST if doc_id is None else doc_id, _text_hash(text), h.tobytes(), w.tobytes(), np.unique(h[w >= ANCHOR_WORDS])))
+                rows.append((_LAST if doc_id is None else doc_id, _text_hash(text), h.tobytes(), w.tobytes(), anchors(h, w)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -110,15 +130,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shortest_runs(words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Start and end of the shortest runs of at least ``least`` words from each line on and up to each line.
-    A run that reaches ``least`` words is covered by those of them that lie in it. No line is blank."""
-    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    ends, starts = np.searchsorted(sums, sums[:-1] + least), np.searchsorted(sums, sums[1:] - least, side="right") - 1
-    on = {(k, e) for k, e in enumerate(ends.tolist()) if e < len(sums)}
-    return sorted(on | {(s, k + 1) for k, s in enumerate(starts.tolist()) if s >= 0})
-
-
 def common_runs(a: list[int], b: list[int], words: np.ndarray) -> set[int]:
     """Positions of ``b`` in runs of at least ``BLOCK_WORDS`` words that ``a`` holds anywhere."""
     raw_a, raw_b = (np.array(side, np.int64).tobytes() for side in (a, b))

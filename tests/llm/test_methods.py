@@ -126,6 +126,23 @@ def test_every_copy_of_a_repeated_line_goes(spark):
     assert left[1] == rows[0][1] and all(left[k] == f"r{k}\nt{k}\nu{k}" for k in range(2, 12))
 
 
+def test_deleted_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    lines = [" ".join(f"l{k}w{n}" for n in range(1 + k % 9)) for k in range(30)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(60)]
+    verse = [f"six words of a verse {k}" for k in range(10)]  # no line is long
+    rows += [(100 + i, "\n".join([f"mine {i}", *verse, f"end {i}"])) for i in range(12)]
+    seen, want = set(), {}
+    for i, text in rows:
+        full = [(k, x) for k, x in enumerate(text.split("\n")) if x.strip()]
+        mine = [full[s:e] for s in range(len(full)) for e in range(s + 1, len(full) + 1)]
+        mine = {tuple(r) for r in mine if sum(len(x.split()) for _, x in r) >= 8}
+        want[i] = sorted({k for r in mine if tuple(x for _, x in r) in seen for k, _ in r})
+        seen |= {tuple(x for _, x in r) for r in mine}
+    got = {r.ord: r.gone for r in line_align.deletions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: gone for i, gone in want.items() if gone} and all(got[100 + i] == list(range(1, 11)) for i in range(1, 12))
+
+
 def test_base_counts_equal_brute_force(texts):
     words = WordHash()
     for t in [*texts.values(), "a b c a b c", "x\nx\n\n \n", "a a a a", ""]:
