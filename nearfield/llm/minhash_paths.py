@@ -8,7 +8,8 @@ compared exhaustively. A larger node is branched again on
 the node is dense, branching would not shrink it, and it is cut into blocks whose pairs of blocks are
 compared instead, each in its own task. Nothing is dropped at any size.
 
-A pair is looked at in the first tree in which its signatures meet. Signatures only rule pairs out
+A pair is looked at in the first tree in which its signatures meet, and in later ones as long as it met in
+roots that were branched further only, where it may have been parted. Signatures only rule pairs out
 (below ``slack`` standard deviations under the threshold); each link is confirmed on the full sets.
 Within a node, links that would join what is already joined are skipped, so a node of n classes yields at
 most n - 1 links. Two sets at similarity 0.85 share none of the 12 roots with probability 0.15**12 = 1e-10.
@@ -66,13 +67,14 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from _rows(batches, schema, one)
 
 
-def _plausible(sig: np.ndarray, n: np.ndarray, blk: np.ndarray, tree: int, cross: bool, i: int, lo: int, hi: int, need: int, threshold: float) -> np.ndarray:
-    """Of the members lo..hi, which may be linked with i: marks and agreeing coordinates."""
+def _plausible(sig: np.ndarray, n: np.ndarray, blk: np.ndarray, tree: int, cross: bool, parted: int, i: int, lo: int, hi: int, need: int, threshold: float) -> np.ndarray:
+    """Of the members lo..hi, which may be linked with i: marks and agreeing coordinates. A pair is left to an
+    earlier tree whose root it shares, unless that root was branched: the bits of ``parted``, for i's roots."""
     eq = sig[lo:hi] == sig[i]
     agree = eq.sum(axis=1)
     ok = agree >= need
-    if tree:
-        ok &= ~eq[:, :tree].any(axis=1)
+    if settled := [r for r in range(tree) if not parted >> r & 1]:
+        ok &= ~eq[:, settled].any(axis=1)
     if cross:
         ok &= blk[lo:hi] != blk[i]
     ok &= np.minimum(n[lo:hi], n[i]) >= (threshold - 1e-9) * np.maximum(n[lo:hi], n[i])
@@ -81,7 +83,7 @@ def _plausible(sig: np.ndarray, n: np.ndarray, blk: np.ndarray, tree: int, cross
 
 def _sieve(need: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop from each node the members whose signature agrees enough with no other one."""
-    schema = pa.schema([("path", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("blk", pa.int32()), ("tree", pa.int32()), ("digest", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("path", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("blk", pa.int32()), ("tree", pa.int32()), ("digest", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("parted", pa.int32())])
     out: dict[str, list] = {f.name: [] for f in schema}
 
     def flush():
@@ -97,7 +99,7 @@ def _sieve(need: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> It
         sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(m, COORDS)
         tree, cross, keep = int(g["tree"][0]), g["bi"][0] != g["bj"][0], np.zeros(m, bool)
         for i in range(1, m):
-            hit = _plausible(sig, g["n"], g["blk"], tree, cross, i, 0, i, need, threshold) > 0
+            hit = _plausible(sig, g["n"], g["blk"], tree, cross, int(g["parted"][i]), i, 0, i, need, threshold) > 0
             if hit.any():
                 keep[:i] |= hit
                 keep[i] = True
@@ -125,7 +127,7 @@ def _link(need: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> I
         sets = [np.frombuffer(x, np.uint64) for x in g["members"]]
         tree, cross, label = int(g["tree"][0]), g["bi"][0] != g["bj"][0], np.arange(m)
         for i in range(1, m):
-            agree = _plausible(sig, g["n"], g["blk"], tree, cross, i, 0, i, need, num / den)
+            agree = _plausible(sig, g["n"], g["blk"], tree, cross, int(g["parted"][i]), i, 0, i, need, num / den)
             todo = np.flatnonzero(agree)
             todo = todo[np.argsort(-agree[todo], kind="stable")]
             while len(todo := todo[label[todo] != label[i]]):
@@ -162,20 +164,21 @@ def _blocks(rows: DataFrame, limits: tuple[int, int]) -> DataFrame:
     return rows.select("path", "tree", "digest", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk")
 
 
-def _nodes(classes: DataFrame, scratch: Scratch, limits: tuple[int, int], branch: int, max_depth: int) -> DataFrame:
-    """``path, tree, digest, bi, bj, blk``: the nodes to compare exhaustively, whole or in pairs of blocks."""
+def _nodes(classes: DataFrame, scratch: Scratch, limits: tuple[int, int], branch: int, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """``path, tree, digest, bi, bj, blk``: the nodes to compare exhaustively, whole or in pairs of blocks; and
+    ``digest, parted``: the trees, as bits, whose root a class has in common with others and was branched."""
     roots = F.array(*[F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), _coordinate(r)).alias("path")) for r in range(TREES)])
     level = classes.select("digest", "n", F.explode(roots).alias("x")).select("x.path", "x.tree", "digest", "n")
     shared = level.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     level = scratch.save(level.join(shared, "path"), "level0")
     whole = lambda df: df.select("path", "tree", "digest", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"))
-    found, per = whole(level.where(_parts(limits) == 1)), (COORDS - TREES) // branch
+    found, per, parted = whole(level.where(_parts(limits) == 1)), (COORDS - TREES) // branch, None
     for depth in range(1, max_depth + 1):
         large = level.where(_parts(limits) > 1)
         if large.isEmpty():
-            return found
+            return found, parted
         if depth == max_depth:
-            return found.union(_blocks(large, limits))
+            return found.union(_blocks(large, limits)), parted
         picks = [f"{TREES + b * per} + pmod(xxhash64(path, {b}), {per})" for b in range(branch)]
         kids = F.array(*[F.expr(f"xxhash64(path, {b}, substring(sig, 4 * cast({p} as int) + 1, 4))") for b, p in enumerate(picks)])
         kids = large.join(classes.select("digest", "sig"), "digest").select("path", "size", "tree", "digest", "n", F.explode(kids).alias("child"))
@@ -183,10 +186,12 @@ def _nodes(classes: DataFrame, scratch: Scratch, limits: tuple[int, int], branch
         dense = sizes.groupBy("path", "size").agg(F.max("kept").alias("kept")).select("path", (F.col("kept") * 2 > F.col("size")).alias("dense"))
         large = large.join(dense, "path")
         found = found.union(_blocks(large.where("dense"), limits))
+        if depth == 1:
+            parted = large.where("not dense").groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("parted"))
         open_kids = kids.join(dense.where("not dense").select("path"), "path").join(sizes.where("kept > 1").select("path", "child", "kept", "weight"), ["path", "child"])
         level = scratch.save(open_kids.select(F.col("child").alias("path"), "tree", "digest", "n", F.col("kept").alias("size"), "weight"), f"level{depth}")
         found = found.union(whole(level.where(_parts(limits) == 1)))
-    return found
+    return found, parted
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), *, node_limit: int = 4096, shingle_limit: int = 1 << 21, branch: int = 6, max_depth: int = 5, slack: float = 5.0) -> DataFrame:
@@ -202,9 +207,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     signed = scratch.save(texts.mapInArrow(partial(_sign, width), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.save(classes, "classes")
-    nodes = _nodes(classes, scratch, (node_limit, shingle_limit), branch, max_depth).join(classes.select("digest", "n", "sig"), "digest")
+    nodes, parted = _nodes(classes, scratch, (node_limit, shingle_limit), branch, max_depth)
+    known = classes.select("digest", "n", "sig")
+    known = known.withColumn("parted", F.lit(0)) if parted is None else known.join(parted, "digest", "left").fillna(0, ["parted"])
+    nodes = nodes.join(known, "digest")
     keys = ["path", "bi", "bj"]
-    fields = "path long, bi int, bj int, blk int, tree int, digest binary, n long, sig binary"
+    fields = "path long, bi int, bj int, blk int, tree int, digest binary, n long, sig binary, parted int"
     sieved = nodes.select(*[x.split()[0] for x in fields.split(", ")]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_sieve, need, t), fields)
     sieved = scratch.save(sieved, "sieved")
     wanted = sieved.select("digest").distinct().join(classes, "digest").select(F.col("rep").alias("doc_id"))

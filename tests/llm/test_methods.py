@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -82,6 +83,25 @@ def test_near_duplicates_equal_brute_force(spark, texts, limits):
     assert got == jaccard_components({i: shingle_set(t, 3) for i, t in rows}, 85, 100)
 
 
+def test_a_pair_parted_in_one_tree_meets_in_another(spark, monkeypatch):
+    base, real = [f"b{k}" for k in range(200)], minhash_paths._sign
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "other"]))] + [(k, " ".join(f"f{k}n{n}" for n in range(50))) for k in range(2, 12)]
+    sig = np.arange(48, dtype="<u4") + 1000 * np.arange(12, dtype="<u4")[:, None]
+    sig[1], sig[:, 0] = sig[0], 7  # all share the first root, 0 and 1 all others too
+    root = spark.createDataFrame([(bytearray(sig[0].tobytes()),)], "sig binary").select(F.xxhash64(F.lit(0), F.substring("sig", 1, 4)).alias("path"))
+    sig[1, root.selectExpr("12 + pmod(xxhash64(path, 0), 36)").first()[0]] = 1  # where the first root branches
+
+    def signed(width, batches):
+        for b in real(width, batches):
+            cells = [sig[i].tobytes() for i in b.column("doc_id").to_pylist()]
+            yield b.set_column(4, "sig", pa.array(cells, pa.binary()))
+
+    monkeypatch.setattr(minhash_paths, "_sign", signed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_paths.near_duplicates(docs, 3, (85, 100), node_limit=3, branch=1).collect()}
+    assert got == {k: max(k, 1) - (k < 2) for k in range(12)}
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     rng = random.Random(1)
