@@ -10,7 +10,8 @@ compared instead, each in its own task. Nothing is dropped at any size.
 
 A pair is looked at in the first tree in which its signatures meet, and in later ones as long as it met in
 roots that were branched further only, where it may have been parted. Signatures only rule pairs out
-(below ``slack`` standard deviations under the threshold); each link is confirmed on the full sets.
+(where so few coordinates agree that a pair at the threshold has them with probability ``miss`` at most); each
+link is confirmed on the full sets.
 Within a node, links that would join what is already joined are skipped, so a node of n classes yields at
 most n - 1 links. Two sets at similarity 0.85 share none of the 12 roots with probability 0.15**12 = 1e-10.
 
@@ -38,6 +39,16 @@ from nearfield.plans.scratch import Scratch
 COORDS, TREES = 48, 12
 
 
+def least_agreement(threshold: float, miss: float) -> int:
+    """The most coordinates to ask for: at the threshold, fewer of them agree with probability ``miss`` at most."""
+    tail = 0.0
+    for k in range(COORDS):
+        tail += math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k)
+        if tail > miss:
+            return max(1, k)
+    return COORDS
+
+
 def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, of) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [of(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
@@ -194,14 +205,14 @@ def _nodes(classes: DataFrame, scratch: Scratch, limits: tuple[int, int], branch
     return found, parted
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), *, node_limit: int = 4096, shingle_limit: int = 1 << 21, branch: int = 6, max_depth: int = 5, slack: float = 5.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), *, node_limit: int = 4096, shingle_limit: int = 1 << 21, branch: int = 6, max_depth: int = 5, miss: float = 1e-8) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``threshold`` is the least similarity as a fraction; ``component_id`` is the smallest id that links reach.
     """
     num, den = threshold
     t = num / den
-    need = max(1, math.ceil(COORDS * t - slack * math.sqrt(COORDS * t * (1 - t))))
+    need = least_agreement(t, miss)
     scratch = Scratch(docs.sparkSession, "paths")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(texts.mapInArrow(partial(_sign, width), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "signed")

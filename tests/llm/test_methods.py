@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -83,13 +84,8 @@ def test_near_duplicates_equal_brute_force(spark, texts, limits):
     assert got == jaccard_components({i: shingle_set(t, 3) for i, t in rows}, 85, 100)
 
 
-def test_a_pair_parted_in_one_tree_meets_in_another(spark, monkeypatch):
-    base, real = [f"b{k}" for k in range(200)], minhash_paths._sign
-    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "other"]))] + [(k, " ".join(f"f{k}n{n}" for n in range(50))) for k in range(2, 12)]
-    sig = np.arange(48, dtype="<u4") + 1000 * np.arange(12, dtype="<u4")[:, None]
-    sig[1], sig[:, 0] = sig[0], 7  # all share the first root, 0 and 1 all others too
-    root = spark.createDataFrame([(bytearray(sig[0].tobytes()),)], "sig binary").select(F.xxhash64(F.lit(0), F.substring("sig", 1, 4)).alias("path"))
-    sig[1, root.selectExpr("12 + pmod(xxhash64(path, 0), 36)").first()[0]] = 1  # where the first root branches
+def sign_with(monkeypatch, sig):
+    real = minhash_paths._sign
 
     def signed(width, batches):
         for b in real(width, batches):
@@ -97,11 +93,36 @@ def test_a_pair_parted_in_one_tree_meets_in_another(spark, monkeypatch):
             yield b.set_column(4, "sig", pa.array(cells, pa.binary()))
 
     monkeypatch.setattr(minhash_paths, "_sign", signed)
+
+
+def test_a_pair_parted_in_one_tree_meets_in_another(spark, monkeypatch):
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "other"]))] + [(k, " ".join(f"f{k}n{n}" for n in range(50))) for k in range(2, 12)]
+    sig = np.arange(48, dtype="<u4") + 1000 * np.arange(12, dtype="<u4")[:, None]
+    sig[1], sig[:, 0] = sig[0], 7  # all share the first root, 0 and 1 all others too
+    root = spark.createDataFrame([(bytearray(sig[0].tobytes()),)], "sig binary").select(F.xxhash64(F.lit(0), F.substring("sig", 1, 4)).alias("path"))
+    sig[1, root.selectExpr("12 + pmod(xxhash64(path, 0), 36)").first()[0]] = 1  # where the first root branches
+    sign_with(monkeypatch, sig)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash_paths.near_duplicates(docs, 3, (85, 100), node_limit=3, branch=1).collect()}
     assert got == {k: max(k, 1) - (k < 2) for k in range(12)}
 
 
+@pytest.mark.parametrize("percent, least", [(85, 24), (80, 21)])
+def test_the_sieve_passes_what_is_likelier_than_it_may_miss(spark, monkeypatch, percent, least):
+    below = lambda n: sum(math.comb(48, k) * percent**k * (100 - percent) ** (48 - k) for k in range(n))
+    assert below(least) * 10**8 <= 100**48 < below(least + 1) * 10**8
+    base = [f"b{k}" for k in range(200)]
+    docs = spark.createDataFrame([(0, " ".join(base)), (1, " ".join([*base[:-1], "other"]))], "doc_id long, text string")
+    for agree in (least, least - 1):
+        sig = np.tile(np.arange(48, dtype="<u4"), (2, 1))
+        sig[1, agree:] += 1000
+        with monkeypatch.context() as m:
+            sign_with(m, sig)
+            got = [r.component_id for r in minhash_paths.near_duplicates(docs, 3, (percent, 100)).orderBy("doc_id").collect()]
+        assert got == [0, 0 if agree == least else 1]
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     rng = random.Random(1)
