@@ -5,8 +5,9 @@ Each language has a raw-content dictionary of sampled training text. A text, low
 language of the smallest sum wins, and the score is its lead over the next, as a share of the next one's
 size. A text whose lead is under ``MARGIN`` is rejected by ``identify(...).rejected``.
 
-Learning is bounded: ``SAMPLE`` training documents a language, expected, by a hash of their id and text, of
-which ``DICTIONARY`` bytes are used, dealt evenly over the sampled texts.
+Learning is bounded: the ``SAMPLE`` training documents of each language with the smallest hashes of id and text,
+or all if there are fewer (repeated rows count once), of which ``DICTIONARY`` bytes are used, dealt evenly over
+the sampled texts.
 
 Edges: a null text or one without a letter is ``und`` with score 0 and rejected; null languages are not
 learnt; without any learnt language all are ``und``; with one, its score is 1; ties go to the first by name;
@@ -35,20 +36,23 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def learn(docs: DataFrame, where: Column | None = None) -> dict[str, bytes]:
     """Dictionary content by language, from the rows of ``docs`` that ``where`` admits."""
-    rows = docs.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), (where if where is not None else F.lit(True)).alias("use"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (where if where is not None else F.lit(True)).alias("use"))
     rows = rows.where(F.col("use") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    # the hash is cut at a share that leaves about SAMPLE rows of each language
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "h", F.substring("text", 1, DICTIONARY).alias("text"))
-    texts: dict[str, list[tuple[int, bytes]]] = {}
-    for lang, h, text in picked.collect():
-        texts.setdefault(lang, []).append((h, text.lower().encode("utf-8", "surrogatepass")))
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(7)), 1).alias("h"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
+    # the hash is cut at a share that leaves about twice SAMPLE distinct rows, and again at a larger one where it left too few
+    shares, texts = {k: min(1.0, 2 * SAMPLE / max(1, n)) for k, n in counts.items()}, {}
+    while shares:
+        share = F.element_at(F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)]), F.col("lang"))
+        picked = rows.where(F.col("lang").isin(list(shares)) & ((share >= 1) | (F.col("h") < share * float(1 << 63))))
+        piece = F.substring("text", 1, DICTIONARY)
+        found: dict[str, list[tuple[int, bytes]]] = {}
+        for lang, h, text in picked.groupBy("lang", "h").agg(F.min(piece)).collect():
+            found.setdefault(lang, []).append((h, text.lower().encode("utf-8", "surrogatepass")))
+        texts |= {k: sorted(v)[:SAMPLE] for k, v in found.items()}
+        shares = {k: min(1.0, 8 * v) for k, v in shares.items() if v < 1 and len(found.get(k, [])) < SAMPLE}
     out = {}
     for lang, found in texts.items():
-        found.sort()
         each = max(256, DICTIONARY // len(found))
         out[lang] = b"\n".join(t[:each] for _, t in found)[:DICTIONARY]
     return {k: out[k] for k in sorted(out) if len(out[k]) >= 8}

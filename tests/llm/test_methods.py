@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from nearfield.llm import bloom_lookup, fertility, line_align, minhash_paths, mixing, pieces, queries, toxicity, url_rules
+from nearfield.llm import bloom_lookup, fertility, line_align, minhash_paths, mixing, pieces, queries, toxicity, url_rules, zstd_language
 from nearfield.llm.text import WordHash
 from tests.conftest import SMALL
 
@@ -262,6 +262,14 @@ def test_languages_hold_out(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97
 
 
+def test_every_language_has_a_bounded_sample(spark):
+    rows = [(None, f"word{k} of a text without an id", "aa") for k in range(3000)] + [(7, f"zin{k} met steeds dezelfde naam", "bb") for k in range(3000)]
+    rows += [(1, "always one and the same row", "cc")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = zstd_language.learn(docs)
+    assert {k: len(v.split(b"\n")) for k, v in found.items()} == {"aa": 200, "bb": 200, "cc": 1}
+
+
 def test_risk_correction_goes_back():
     rng = np.random.default_rng(0)
     positive = [np.unique(np.r_[rng.integers(100, 400, 20), [7]]).astype(np.int32) for _ in range(60)]
