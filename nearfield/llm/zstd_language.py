@@ -7,7 +7,7 @@ size. A text whose lead is under ``MARGIN`` is rejected by ``identify(...).rejec
 
 Learning is bounded: the ``SAMPLE`` training documents of each language with the smallest hashes of id and text,
 or all if there are fewer (repeated rows count once), of which ``DICTIONARY`` bytes are used, dealt evenly over
-the sampled texts.
+the sampled texts, of each from a place that its hash chooses.
 
 Edges: a null text or one without a letter is ``und`` with score 0 and rejected; null languages are not
 learnt; without any learnt language all are ``und``; with one, its score is 1; ties go to the first by name;
@@ -41,20 +41,22 @@ def learn(docs: DataFrame, where: Column | None = None) -> dict[str, bytes]:
     rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(7)), 1).alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
     # the hash is cut at a share that leaves about twice SAMPLE distinct rows, and again at a larger one where it left too few
+    wide = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(256, DICTIONARY // max(1, min(SAMPLE, int(0.8 * n)))))]), F.col("lang")) if counts else F.lit(0)
+    start = F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.length("text") - wide, F.lit(0)) + 1).cast("int")
     shares, texts = {k: min(1.0, 2 * SAMPLE / max(1, n)) for k, n in counts.items()}, {}
     while shares:
         share = F.element_at(F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)]), F.col("lang"))
         picked = rows.where(F.col("lang").isin(list(shares)) & ((share >= 1) | (F.col("h") < share * float(1 << 63))))
-        piece = F.substring("text", 1, DICTIONARY)
         found: dict[str, list[tuple[int, bytes]]] = {}
-        for lang, h, text in picked.groupBy("lang", "h").agg(F.min(piece)).collect():
+        for lang, h, text in picked.groupBy("lang", "h").agg(F.min(F.col("text").substr(start + 1, wide))).collect():
             found.setdefault(lang, []).append((h, text.lower().encode("utf-8", "surrogatepass")))
         texts |= {k: sorted(v)[:SAMPLE] for k, v in found.items()}
         shares = {k: min(1.0, 8 * v) for k, v in shares.items() if v < 1 and len(found.get(k, [])) < SAMPLE}
     out = {}
     for lang, found in texts.items():
         each = max(256, DICTIONARY // len(found))
-        out[lang] = b"\n".join(t[:each] for _, t in found)[:DICTIONARY]
+        starts = [h % (max(0, len(t) - each) + 1) for h, t in found]
+        out[lang] = b"\n".join(t[k : k + each] for k, (_, t) in zip(starts, found, strict=True))[:DICTIONARY]
     return {k: out[k] for k in sorted(out) if len(out[k]) >= 8}
 
 

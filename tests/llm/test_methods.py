@@ -270,6 +270,18 @@ def test_every_language_has_a_bounded_sample(spark):
     assert {k: len(v.split(b"\n")) for k, v in found.items()} == {"aa": 200, "bb": 200, "cc": 1}
 
 
+def test_dictionaries_read_past_a_common_head(spark):
+    head, tail, rng = "licence " * 200, " notice" * 200, random.Random(9)
+    words = {c: [c + "".join(rng.choice("aeioun") for _ in range(6)) for _ in range(40)] for c in "kt"}
+    rows = [(2 * k + n, head + " ".join(rng.choice(words[c]) for _ in range(600)) + tail, c) for k in range(250) for n, c in enumerate("kt")]
+    contents = zstd_language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(sum(w.encode() in contents[c] for w in words[c]) > 30 for c in "kt")
+    tool = zstd_language.Identifier(contents)
+    assert all(tool.identify(" ".join(rng.choice(words[c]) for _ in range(30)))[0] == c for c in "kt" for _ in range(20))
+    short = zstd_language.learn(spark.createDataFrame([(k, f"row {k} " * 500, "kt"[k % 2]) for k in range(6)], "doc_id long, text string, lang string"))
+    assert all(len(v) == 3 * 3000 + 2 for v in short.values())  # few texts are used whole
+
+
 def test_risk_correction_goes_back():
     rng = np.random.default_rng(0)
     positive = [np.unique(np.r_[rng.integers(100, 400, 20), [7]]).astype(np.int32) for _ in range(60)]
