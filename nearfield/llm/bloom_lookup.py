@@ -4,14 +4,18 @@ A text's paragraphs are its lines, a long line in pieces of ``PIECE`` words, eac
 sketch has three subtables of ``s`` cells; a digest goes to one cell of each, adding one to its count and
 xor-ing itself and a check hash in. Two sketches of one size subtract cell by cell; what both texts hold
 cancels, and a cell with count 1 or -1 and a matching check is one differing digest, which is taken out of
-its other two cells, and so on (peeling, one subtable at a time, so no digest is taken out twice). Where
-cells remain, both sketches are made again four times as large. From the number of recovered digests and the
-two sizes follows the Jaccard likeness.
+its other two cells, and so on (peeling, one subtable at a time, so no digest is taken out twice). From the
+number of recovered digests and the two sizes follows the Jaccard likeness.
 
-A sketch's size follows its text alone, so equal texts have equal fingerprints; a pair is compared at the
-size that its two texts ask for. ``lead_text`` pairs each document with the next in descending id order: ids
-are cut into ranges at approximate quantiles, each range is ordered by itself, and the first row of each
-range is copied to the range before it, so no task orders more than a range.
+The fingerprint is the sketch itself, with ``CELLS`` cells a subtable for every text: its nonzero cells, packed
+in ``CELL_BYTES`` bytes each, in base64. A pair is first compared by subtracting its two fingerprints. Where
+cells remain, more differs than so small a sketch can tell, and both sketches are made again: as large as two
+texts that share nothing would need, and ``GROWTH`` times larger each time that this fails.
+
+``lead_text`` pairs each document with the next in descending id order: rows are put into ranges between
+approximate quantiles of the ids (an id that is a quantile several times over, or null, is split by the hash of
+the text), each range is ordered by itself, and the first row of each range is copied to the range before it. A
+range's order is a sort that can spill; only rows equal in id and text can't be split.
 
 Edges: a null text is the empty text, with an empty sketch; two empty sketches have likeness 1; a null id
 orders last, rows of one id by the hash of their text; repeated rows follow one another; the next document
@@ -21,15 +25,14 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.plans.scratch import Scratch
 
-PIECE, ROUNDS, GROWTH, ROWS_A_RANGE = 16, 12, 4, 2_000
+PIECE, CELLS, CELL_BYTES, ROUNDS, GROWTH = 16, 16, 17, 6, 4
+ROWS_A_RANGE, CUTS, ROWS_A_TASK, BROADCAST_RANGES = 50_000, 1000, 20_000, 100_000
 _PIECES = rf"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){{0,{PIECE - 1}}}"
 _CHECK, _CELL = 99, 100
 
@@ -39,66 +42,78 @@ def paragraphs(text: F.Column) -> F.Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
-def _power_of_two(least: F.Column) -> F.Column:
-    return F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(least, F.lit(1.0))))).cast("int"))
-
-
-@contextmanager
-def _plain_maps(spark):
-    """Chained grouped sums in one stage: without the extra per-operator page of the two-level maps."""
-    key = "spark.sql.codegen.aggregate.map.twolevel.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def lead_text(docs: DataFrame) -> DataFrame:
+def _place(rows: DataFrame, rows_a_range: int) -> DataFrame:
+    """``rows`` with ``range``, which falls as the order goes on: descending id, null last, then rising hash."""
+    ids = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    wanted = max(1, min(ids.n // 2000, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-ids.n // rows_a_range))
+    coarse = min(wanted, CUTS)
+    found = rows.agg(F.percentile_approx("doc_id", [k / coarse for k in range(1, coarse)], 20 * coarse)).first()[0] if coarse > 1 and ids.m else []
+    cuts, fine = sorted(set(found or [])), -(-wanted // coarse)
+    parts = [c * fine if (c := found.count(x)) > 1 else 1 for x in cuts]
+    unit = "(shiftrightunsigned(th, 11) / 9007199254740992D)"
+    by_hash = lambda m: f"({m} - 1 - cast(floor({m} * (CASE WHEN th < 0 THEN {unit} - 0.5D ELSE {unit} + 0.5D END)) AS long))"
+    nulls = max(1, -(-(ids.n - ids.m) * wanted // max(1, ids.n)))
+    at = f"array({', '.join(f'{x}L' for x in cuts)})" if cuts else "cast(array() AS array<bigint>)"
+    heavy = f"array({', '.join(f'{x}L' for x in parts)})" if cuts else "cast(array() AS array<bigint>)"
+    powers = ", ".join(str(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1))
+    place = f"aggregate(array({powers}), 0, (p, k) -> CASE WHEN get({at}, p + k - 1) <= doc_id THEN p + k ELSE p END)" if cuts else "0"
+    rows = rows.withColumn("place", F.expr(place)).withColumn("low", F.expr(f"coalesce(get({at}, place - 1), {ids.lo or 0}L)")).withColumn("m", F.expr(f"coalesce(get({heavy}, place - 1), 1L)"))
+    share = f"(cast(doc_id AS double) - low) / greatest(1D, cast(coalesce(get({at}, place), {ids.hi or 0}L) AS double) - low)"
+    part = f"CASE WHEN doc_id = low AND m > 1 THEN {by_hash('m')} ELSE m + least({fine - 1}L, cast(floor({share} * {fine}) AS long)) END"
+    return rows.withColumn("range", F.expr(f"CASE WHEN doc_id IS NULL THEN {by_hash(f'{nulls}L')} - shiftleft(1L, 40) ELSE shiftleft(cast(place AS long), 32) + {part} END")).drop("place", "low", "m")
+
+
+def lead_text(docs: DataFrame, scratch: Scratch, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """``rid`` (unique), ``doc_id, text, units, next_text, next_units``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.select("doc_id").count()
-    ranges = max(1, min(n // ROWS_A_RANGE, 20_000))
-    cuts = []
-    if ranges > 1:
-        shares = [k / ranges for k in range(1, ranges)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0] or []))
-    rows = rows.withColumn("th", F.xxhash64("text"))
-    place = F.lit(0) if not cuts else F.expr("size(filter(array(" + ",".join(f"{c}L" for c in cuts) + "), c -> c <= doc_id))")
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place))
-    top = F.max(F.struct("doc_id", (-F.col("th").cast("decimal(20,0)")).alias("t")))
-    heads = sorted(((r["range"], r["h"]["doc_id"], -int(r["h"]["t"])) for r in rows.groupBy("range").agg(top.alias("h")).collect()), key=lambda x: -x[0])
-    if not heads:
-        return rows.select(F.lit(0).cast("long").alias("rid"), "doc_id", "text", F.array().cast("array<long>").alias("units"), F.lit("").alias("next_text"), F.array().cast("array<long>").alias("next_units")).limit(0)
-    before = {heads[k][0]: heads[k - 1][0] for k in range(len(heads))}  # the range above; the first's is the last
-    to = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("range"))
-    is_head = F.coalesce(F.col("doc_id").eqNullSafe(F.element_at(F.create_map(*[F.lit(x) for r, i, _ in heads for x in (r, i if i is not None else 0)]), F.col("range"))) & (F.col("range") >= 0) | (F.col("range") < 0), F.lit(False))
-    is_head &= F.col("th") == F.element_at(F.create_map(*[F.lit(x) for r, _, t in heads for x in (r, t)]), F.col("range"))
-    here = F.struct(F.col("range").alias("range"), F.lit(False).alias("copy"))
-    rows = rows.withColumn("units", paragraphs(F.col("text"))).withColumn("p", F.explode(F.when(is_head, F.array(here, F.struct(to.alias("range"), F.lit(True).alias("copy")))).otherwise(F.array(here))))
-    rows = rows.select(F.col("p.range").alias("range"), F.col("p.copy").alias("copy"), "doc_id", "th", F.struct("text", "units").alias("own"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = _place(rows, rows_a_range)
+    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", F.bitwise_not("th").alias("t"))).alias("h"))
+    nth = F.row_number().over(Window.orderBy("range"))  # one row a range
+    heads = heads.select("range", F.col("h.doc_id").alias("h_id"), F.bitwise_not("h.t").alias("h_th"), nth.alias("nth"))
+    heads = scratch.save(heads, "heads")
+    top = heads.count()
+    heads = heads.withColumn("to", F.when(F.col("nth") == top, 1).otherwise(F.col("nth") + 1))  # the last one's next is the first
+    rows = rows.join(F.broadcast(heads) if top <= BROADCAST_RANGES else heads, "range")
+    is_head = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th"))
+    here, there = (F.struct(F.col(c).alias("range"), F.lit(copy).alias("copy")) for c, copy in (("nth", False), ("to", True)))
+    rows = rows.withColumn("units", paragraphs(F.col("text"))).withColumn("p", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))))
+    rows = rows.select("p.range", "p.copy", "doc_id", "th", F.struct("text", "units").alias("own"))
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "th")
     rows = rows.withColumn("next", F.lead("own").over(order)).withColumn("nth", F.row_number().over(order)).where(~F.col("copy"))
-    rid = F.shiftleft((F.col("range") + 1).cast("long"), 40) + F.col("nth")
+    rid = F.shiftleft(F.col("range").cast("long"), 40) + F.col("nth")
     return rows.select(rid.alias("rid"), "doc_id", F.col("own.text").alias("text"), F.col("own.units").alias("units"), F.col("next.text").alias("next_text"), F.col("next.units").alias("next_units"))
 
 
-def sketch(rows: DataFrame, keys: list[str], parts: list[tuple[str, int]]) -> DataFrame:
-    """Cells ``(*keys, s, cell, cnt, key, chk)``, nonzero ones only, of the signed sum of ``parts``: pairs of a
-    digest-array column and a sign. ``rows`` has the size ``s`` and is partitioned by its keys."""
-    cells = ", ".join(f"named_struct('cell', {j} * s + cast(pmod(xxhash64(u.d, {_CELL + j}), s) as int), 'cnt', u.g, 'key', u.d)" for j in range(3))
-    units = "concat(" + ", ".join(f"transform({c}, d -> named_struct('d', d, 'g', cast({g} as long)))" for c, g in parts) + ")"
-    out = rows.select(*keys, "s", F.explode(F.expr(units)).alias("u")).select(*keys, "s", F.xxhash64("u.d", F.lit(_CHECK)).alias("chk"), F.explode(F.expr(f"array({cells})")).alias("c"))
-    return _sum(out.select(*keys, "s", "c.cell", "c.cnt", "c.key", "chk"), [*keys, "s", "cell"])
-
-
 def _sum(cells: DataFrame, keys: list[str]) -> DataFrame:
     out = cells.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
     return out.where((F.col("cnt") != 0) | (F.col("key") != 0) | (F.col("chk") != 0))
 
 
+def _check(key: str) -> str:
+    return f"(xxhash64({key}, {_CHECK}) & 4294967295L)"
+
+
+def sketch(digests: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells ``(*keys, s, cell, cnt, key, chk)``, nonzero ones only, of digests ``(*keys, s, d, g)`` of sign g."""
+    cells = ", ".join(f"named_struct('cell', {j} * s + cast(pmod(xxhash64(d, {_CELL + j}), s) as int), 'cnt', g, 'key', d)" for j in range(3))
+    out = digests.select(*keys, "s", F.expr(_check("d")).alias("chk"), F.explode(F.expr(f"array({cells})")).alias("c"))
+    return _sum(out.select(*keys, "s", "c.cell", "c.cnt", "c.key", "chk"), [*keys, "s", "cell"])
+
+
+def sketches(rows: DataFrame, sides: list[str]) -> DataFrame:
+    """The fingerprints' cells of the digest arrays ``sides`` of each ``rid``; ``side`` is the place in the list."""
+    units = "concat(" + ", ".join(f"transform({c}, d -> named_struct('side', {k}, 'd', d))" for k, c in enumerate(sides)) + ")"
+    digests = rows.select("rid", F.explode(F.expr(units)).alias("u")).select("rid", "u.side", F.lit(CELLS).alias("s"), "u.d", F.lit(1).cast("long").alias("g"))
+    return sketch(digests, ["rid", "side"])
+
+
+def subtract(cells: DataFrame) -> DataFrame:
+    """Cells by ``rid, pair``: side 0 less side 1 (pair 0), and less side 2 (pair 1)."""
+    signs = "CASE WHEN side = 0 THEN array(named_struct('pair', 0, 'g', 1L), named_struct('pair', 1, 'g', 1L)) ELSE array(named_struct('pair', side - 1, 'g', -1L)) END"
+    both = cells.select("rid", "s", "cell", "cnt", "key", "chk", F.explode(F.expr(signs)).alias("x"))
+    return _sum(both.select("rid", "x.pair", "s", "cell", (F.col("cnt") * F.col("x.g")).alias("cnt"), "key", "chk"), ["rid", "pair", "s", "cell"])
+
+
 def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests: bool = False) -> DataFrame:
     """Cells after ``rounds``; cell -1 counts what was recovered or, with ``keep_digests``, is one row per
     recovered ``digest`` whose count is 1 or -1 by the side that holds it."""
@@ -110,30 +125,35 @@ def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests:
     same = ", 'digest', digest" if keep_digests else ""
     for t in range(rounds):
         t %= 3
-        pure = f"cell div s = {t} AND abs(cnt) = 1 AND chk = xxhash64(key, {_CHECK})"
+        pure = f"cell div s = {t} AND abs(cnt) = 1 AND chk = {_check('key')}"
         out = [f"named_struct('cell', {j} * s + cast(pmod(xxhash64(key, {_CELL + j}), s) as int), 'cnt', -cnt, 'key', key, 'chk', chk{none})" for j in range(3) if j != t]
         step = f"CASE WHEN cell >= 0 AND {pure} THEN array({found}, {', '.join(out)}) ELSE array(named_struct('cell', cell, 'cnt', cnt, 'key', key, 'chk', chk{same})) END"
         cells = _sum(cells.select(*keys, "s", F.explode(F.expr(step)).alias("c")).select(*keys, "s", "c.*"), [*keys, "s", "cell", *extra])
     return cells
 
 
-def recovered(rows: DataFrame, scratch: Scratch, partitions: int, max_retries: int = 12) -> DataFrame:
-    """``rid, pair, differing`` for every row of ``rows`` (``rid, pair, a, b`` with digest arrays)."""
-    spark = rows.sparkSession
-    least = (F.size("a") + F.size("b")).cast("double") / 1.5
-    todo, done = rows.withColumn("s", _power_of_two(least)), None
-    for k in range(max_retries):
-        dealt = todo.repartition(partitions, "rid")
-        with _plain_maps(spark):
-            left = peel(sketch(dealt, ["rid", "pair"], [("a", 1), ("b", -1)]), ["rid", "pair"])
-            sums = left.groupBy("rid", "pair").agg(F.sum(F.when(F.col("cell") < 0, F.col("cnt")).otherwise(0)).alias("differing"), F.max("cell").alias("stuck"))
-            sums = scratch.save(sums, f"peeled{k}")
+def differences(base: DataFrame, scratch: Scratch, partitions: int, max_sizes: int = 14) -> DataFrame:
+    """``rid, pair, differing`` of the rows of ``base`` (``rid, units, edited_units, next_units``): how many
+    digests differ between ``units`` and the two others. Pairs that differ in nothing may be left out."""
+    rows = base.select("rid", "units", "edited_units", "next_units")
+    left, done = subtract(sketches(rows.repartition(partitions, "rid"), ["units", "edited_units", "next_units"])), None
+    for k in range(max_sizes):
+        sums = peel(left, ["rid", "pair"]).groupBy("rid", "pair", "s").agg(F.sum(F.when(F.col("cell") < 0, F.col("cnt")).otherwise(0)).alias("differing"), F.max("cell").alias("stuck"))
+        sums = scratch.save(sums, f"peeled{k}")
         ok = sums.where("stuck < 0").select("rid", "pair", "differing")
         done = ok if done is None else done.union(ok)
-        stuck = sums.where("stuck >= 0").select("rid", "pair")
+        stuck = sums.where("stuck >= 0").groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("s"))).alias(f"s{p}") for p in (0, 1)])
         if stuck.isEmpty():
             return done
-        todo = todo.join(stuck, ["rid", "pair"]).withColumn("s", F.col("s") * GROWTH)
+        rows = rows.join(stuck, "rid")
+        if k:
+            rows = scratch.save(rows, f"again{k}")
+        larger = lambda p, b: f"CASE WHEN s{p} IS NOT NULL THEN greatest(s{p} * {GROWTH}, cast(pow(2D, ceil(log2(size(units) + size({b}) + 1D))) AS int)) END"
+        pairs = ", ".join(f"named_struct('pair', {p}, 's', {larger(p, b)}, 'b', {b})" for p, b in enumerate(("edited_units", "next_units")))
+        pair = rows.select("rid", "units", F.explode(F.expr(f"filter(array({pairs}), x -> x.s IS NOT NULL)")).alias("x"))
+        both = "concat(transform(units, d -> named_struct('d', d, 'g', 1L)), transform(x.b, d -> named_struct('d', d, 'g', -1L)))"
+        left = sketch(pair.select("rid", "x.pair", "x.s", F.explode(F.expr(both)).alias("u")).select("rid", "pair", "s", "u.d", "u.g"), ["rid", "pair"])
+        rows = rows.drop("s0", "s1")
     raise RuntimeError("a sketch did not peel")
 
 
@@ -143,12 +163,14 @@ def _likeness(a: F.Column, b: F.Column, differing: F.Column) -> F.Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(common / (both - common))
 
 
-def fingerprints(rows: DataFrame, units: str, partitions: int) -> DataFrame:
-    """``rid, fingerprint``: the number of digests and 128 bits over the cells of the sketch of ``units``."""
-    sized = rows.select("rid", units, _power_of_two(F.size(units).cast("double")).alias("s")).repartition(partitions, "rid")
-    cells = sketch(sized, ["rid"], [(units, 1)])
-    h = [F.bit_xor(F.xxhash64("cell", "cnt", "key", "chk", F.lit(seed))) for seed in (1, 2)]
-    return cells.groupBy("rid", "s").agg(F.concat_ws("-", F.lower(F.hex("s")), *[F.lower(F.lpad(F.hex(x), 16, "0")) for x in h]).alias("fingerprint")).select("rid", "fingerprint")
+def fingerprints(base: DataFrame, sides: list[str], partitions: int) -> DataFrame:
+    """``rid`` and ``f0, f1, ...``: the packed sketches of the digest arrays ``sides``. A cell is its number (1 byte),
+    count (4), digests (8) and checks (4) together."""
+    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
+    cells = sketches(base.select("rid", *sides).repartition(partitions, "rid"), sides)
+    packed = F.concat(wide("cell", 2), wide("cnt", 8), wide("key", 16), wide("chk", 8))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("side") == k, packed))) for k in range(len(sides))]
+    return cells.groupBy("rid").agg(*[F.base64(F.unhex(F.array_join(x, ""))).alias(f"f{k}") for k, x in enumerate(lists)])
 
 
 def version_likeness(docs: DataFrame) -> DataFrame:
@@ -157,20 +179,17 @@ def version_likeness(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "sketch")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = lead_text(docs).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half)))
+    rows = lead_text(docs, scratch).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.select("rid", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "units", paragraphs(F.col("edited")).alias("edited_units"), "next_units")
     base = scratch.save(rows, "base")
-    count = base.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_A_RANGE))
-    pairs = base.select("rid", F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), F.col("units").alias("a"), F.col(b).alias("b")) for k, b in enumerate(("edited_units", "next_units"))])).alias("p")).select("rid", "p.pair", "p.a", "p.b")
-    found = recovered(pairs, scratch, partitions)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // ROWS_A_TASK))
+    found = differences(base, scratch, partitions)
     found = found.groupBy("rid").agg(*[F.max(F.when(F.col("pair") == k, F.col("differing"))).alias(f"d{k}") for k in (0, 1)])
-    own = fingerprints(base, "units", partitions)
-    edited = fingerprints(base, "edited_units", partitions).withColumnRenamed("fingerprint", "edited_fingerprint")
+    own = fingerprints(base, ["units", "edited_units"], partitions)
     out = base.select("rid", "doc_id", "n_chars", "edited_sha256", F.size("units").alias("n0"), F.size("edited_units").alias("n1"), F.size("next_units").alias("n2"))
-    out = out.join(found, "rid", "left").join(own, "rid", "left").join(edited, "rid", "left")
-    blank = lambda c: F.coalesce(F.col(c), F.lit("0"))
-    return out.select("doc_id", "n_chars", "edited_sha256", blank("fingerprint").alias("fingerprint"), blank("edited_fingerprint").alias("edited_fingerprint"), _likeness(F.col("n0"), F.col("n1"), F.col("d0")).alias("near_edited"), _likeness(F.col("n0"), F.col("n2"), F.col("d1")).alias("near_next"))
+    out = out.join(found, "rid", "left").join(own, "rid", "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return out.select("doc_id", "n_chars", "edited_sha256", blank("f0").alias("fingerprint"), blank("f1").alias("edited_fingerprint"), _likeness(F.col("n0"), F.col("n1"), F.col("d0")).alias("near_edited"), _likeness(F.col("n0"), F.col("n2"), F.col("d1")).alias("near_next"))
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators against brute force, libraries and held-out labels."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import bloom_lookup, fertility, line_align, minhash_paths, mixing, pieces, queries, toxicity, url_rules, zstd_language
 from nearfield.llm.text import WordHash
+from nearfield.plans.scratch import Scratch
 from tests.conftest import SMALL
 
 MID = "/root/testdata/sf0.01"
@@ -216,35 +218,86 @@ def test_backtracking_equals_merging():
         assert [codec.piece[i] for i in codec.backtrack(t)] == codec.merge(t)
 
 
-def test_likeness_equals_sets_and_peeling_recovers_digests(spark, texts):
-    piece = re.compile(r"[^ \t-\r]+(?:[ \t\x0b\x0c\r]+[^ \t-\r]+){0,15}")
-    out = {r.doc_id: r for r in bloom_lookup.version_likeness(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
-    ids, seen = sorted(texts, reverse=True), {}
-    for k, i in enumerate(ids):
-        x, y = texts[i], texts[ids[(k + 1) % len(ids)]]
-        half = len(x) // 2
-        edited = x[: len(x) - half] + y[:half]
-        u, e, n = (set(piece.findall(t)) for t in (x, edited, y))
-        assert out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert out[i].near_edited == pytest.approx(len(u & e) / len(u | e)) and out[i].near_next == pytest.approx(len(u & n) / len(u | n))
-        assert seen.setdefault(x, out[i].fingerprint) == out[i].fingerprint
-    row = spark.createDataFrame([(1, 0, list(range(100)), list(range(7, 104)), 32)], "rid long, pair int, a array<long>, b array<long>, s int")
-    cells = bloom_lookup.sketch(row, ["rid", "pair"], [("a", 1), ("b", -1)])
-    got = {(r.digest, r.cnt) for r in bloom_lookup.peel(cells, ["rid", "pair"], keep_digests=True).where("cell < 0").collect()}
+PIECES = re.compile(r"[^ \t-\r]+(?:[ \t\x0b\x0c\r]+[^ \t-\r]+){0,15}")
+
+
+def check_versions(out, order):
+    """Every row of op9 against texts in their order, by sets of paragraphs."""
+    pieces_of = lambda t: set(PIECES.findall(t))
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = []
+    for k, (i, x) in enumerate(order):
+        y = order[(k + 1) % len(order)][1]
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        want.append((i is None, i or 0, len(x), hashlib.sha256(edited.encode()).hexdigest(), round(jaccard(pieces_of(x), pieces_of(edited)), 9), round(jaccard(pieces_of(x), pieces_of(y)), 9)))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == sorted(want)
+
+
+def unpacked(fingerprint):
+    raw = base64.b64decode(fingerprint)
+    assert len(raw) % bloom_lookup.CELL_BYTES == 0 and len(raw) <= 3 * bloom_lookup.CELLS * bloom_lookup.CELL_BYTES
+    cells = [raw[k : k + bloom_lookup.CELL_BYTES] for k in range(0, len(raw), bloom_lookup.CELL_BYTES)]
+    return {c[0]: (int.from_bytes(c[1:5], "big"), int.from_bytes(c[5:13], "big"), int.from_bytes(c[13:], "big")) for c in cells}
+
+
+def test_likeness_follows_from_the_fingerprints_alone(spark, texts):
+    """Peeled in Python, with the hashes of the digests that Spark gives."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = bloom_lookup.version_likeness(docs).collect()
+    check_versions(out, sorted(texts.items(), reverse=True))
+    seen = {}
+    for r in out:
+        assert seen.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
+    edited = [(t[: len(t) - len(t) // 2] + texts[ids[(k + 1) % len(ids)]][: len(t) // 2],) for ids in [sorted(texts, reverse=True)] for k, t in enumerate(texts[i] for i in ids)]
+    every = docs.select("text").union(spark.createDataFrame(edited, "text string")).select(F.explode(bloom_lookup.paragraphs(F.col("text"))).alias("d")).distinct()
+    s, unsigned = bloom_lookup.CELLS, lambda x: x & ((1 << 64) - 1)
+    place = [F.pmod(F.xxhash64("d", F.lit(bloom_lookup._CELL + j)), F.lit(s)).alias(f"c{j}") for j in range(3)]
+    known = {unsigned(r.d): (r.chk, [r.c0, s + r.c1, 2 * s + r.c2]) for r in every.select("d", F.expr(bloom_lookup._check("d")).alias("chk"), *place).collect()}
+    peeled = 0
+    for r in out:
+        a, b = unpacked(r.fingerprint), unpacked(r.edited_fingerprint)
+        sizes = [sum(c[0] for k, c in x.items() if k < s) for x in (a, b)]
+        left = {k: [a.get(k, (0, 0, 0))[0] - b.get(k, (0, 0, 0))[0], a.get(k, (0, 0, 0))[1] ^ b.get(k, (0, 0, 0))[1], a.get(k, (0, 0, 0))[2] ^ b.get(k, (0, 0, 0))[2]] for k in range(3 * s)}
+        differing = 0
+        while pure := next((c for c in left.values() if abs(c[0]) == 1 and known.get(c[1], (None,))[0] == c[2]), None):
+            g, key, chk = pure
+            differing += 1
+            for k in known[key][1]:
+                left[k] = [left[k][0] - g, left[k][1] ^ key, left[k][2] ^ chk]
+        if not any(map(any, left.values())):
+            peeled += 1
+            both = sum(sizes)
+            assert r.near_edited == pytest.approx(((both - differing) / 2) / ((both + differing) / 2) if both else 1.0)
+    assert peeled > 60
+
+
+@pytest.mark.parametrize("rows_a_range", [7, 40])
+def test_many_ranges_null_ids_and_repeats(spark, texts, rows_a_range):
+    short = [t for t in texts.values() if len(t) < 4000]
+    rng = random.Random(8)
+    rows = [(k, t) for k, t in enumerate(short)] + [(None, t) for t in short[:40]] + [(17, t) for t in short[:60]] + [(2**62, "far"), (-(2**62), "low")]
+    rows += [(5, short[0])] * 9 + [(None, short[1])] * 3
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    th = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), th[r[1]]))
+    scratch = Scratch(spark, "test")
+    led = bloom_lookup.lead_text(docs, scratch, rows_a_range)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.next_text) for r in led.collect()))
+    assert got == sorted((i is None, i or 0, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert spark.read.parquet(f"{scratch.root}/heads").count() > len(rows) / rows_a_range / 2
+    check_versions(bloom_lookup.version_likeness(docs).collect(), order)
+
+
+def test_peeling_recovers_digests_and_retries_larger(spark):
+    digests = [(1, k, 1) for k in range(100)] + [(1, k, -1) for k in range(7, 104)]
+    cells = bloom_lookup.sketch(spark.createDataFrame(digests, "rid long, d long, g long").withColumn("s", F.lit(32)), ["rid"])
+    got = {(r.digest, r.cnt) for r in bloom_lookup.peel(cells, ["rid"], 12, keep_digests=True).where("cell < 0").collect()}
     assert got == {(k, 1) for k in range(7)} | {(k, -1) for k in range(100, 104)}
-
-
-def test_too_small_a_sketch_is_made_again(spark):
-    from nearfield.plans.scratch import Scratch
-
-    rows = spark.createDataFrame([(k, 0, list(range(k * 1000, k * 1000 + 60)), []) for k in range(30)], "rid long, pair int, a array<long>, b array<long>")
-    least = bloom_lookup._power_of_two
-    bloom_lookup._power_of_two = lambda c: F.lit(8)
-    try:
-        got = bloom_lookup.recovered(rows, Scratch(spark, "test"), 4).collect()
-    finally:
-        bloom_lookup._power_of_two = least
-    assert len(got) == 30 and {r.differing for r in got} == {60}
+    rows = [(k, list(range(k * 1000, k * 1000 + n)), list(range(k * 1000, k * 1000 + n // 2)), []) for k, n in enumerate([0, 1, 4, 30, 60, 500, 3000])]
+    base = spark.createDataFrame(rows, "rid long, units array<long>, edited_units array<long>, next_units array<long>")
+    got = {(r.rid, r.pair): r.differing for r in bloom_lookup.differences(base, Scratch(spark, "test"), 4).collect()}
+    assert got == {(k, p): d for k, a, b, _ in rows for p, d in enumerate((len(a) - len(b), len(a))) if d}
 
 
 def test_classifiers_hold_out(spark):
