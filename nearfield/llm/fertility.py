@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.text import WordHash, mix, splitmix
+from nearfield.llm.text import WordHash, mix, slices, splitmix
 
 MIN_WORDS = 50
 #: By script: least and most characters per token (piece vocabulary), the same (byte vocabulary), the most
@@ -111,6 +111,7 @@ _FIELDS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.in
 def _judge(model: bytes, ranks: bytes, pattern: str, bands: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, schema = WordHash(), pa.schema(_FIELDS)
     if (key := hash((model, ranks))) not in _shared:
+        _shared.clear()
         _shared[key] = Fertility(model, ranks, pattern)
     fertility = _shared[key]
 
@@ -124,7 +125,7 @@ def _judge(model: bytes, ranks: bytes, pattern: str, bands: dict, batches: Itera
         fits = lo_a <= a <= hi_a and lo_b <= b <= hi_b and share <= most and lo_h <= h <= hi_h
         return doc_id, n, chars, symbols, dup, rep, failed, script, a, b, share, h, fits and not failed
 
-    for batch in batches:
+    for batch in slices(batches, [words]):
         rows = [one(*x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

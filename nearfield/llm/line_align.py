@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.text import slices
 from nearfield.plans.scratch import Scratch
 
 ANCHOR_WORDS, RARE, BLOCK_WORDS = 8, 4, 8
@@ -73,7 +74,7 @@ def anchors(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document: its place in the order, all its lines, and the hashes that can be anchors."""
     schema = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("hashes", pa.binary()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64()))])
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             if text is not None:
@@ -162,7 +163,7 @@ def common_blocks(a: list[int], b: list[int], words: np.ndarray) -> list[int]:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         out: list[list] = [[], [], []]
         for k in range(b.num_rows):
             row = {n: c[k].as_py() for n, c in zip(b.schema.names, b.columns, strict=True)}

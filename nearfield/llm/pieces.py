@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from nearfield.llm.text import Generations, slices
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -54,8 +56,7 @@ def read_vocabulary(path: str | None = None) -> list[tuple[str, float, int]]:
 
 
 class PieceCodec:
-    def __init__(self, vocabulary: list[tuple[str, float, int]], cache_limit: int = 1 << 19):
-        self.cache_limit = cache_limit
+    def __init__(self, vocabulary: list[tuple[str, float, int]], cache_limit: int = 1 << 15):
         self.score = {p: s for p, s, k in vocabulary if k == NORMAL}
         self.id = {p: i for i, (p, s, k) in enumerate(vocabulary) if k == NORMAL}
         self.byte_id = {int(p[3:5], 16): i for i, (p, s, k) in enumerate(vocabulary) if k == BYTE}
@@ -73,8 +74,8 @@ class PieceCodec:
             if self.merge(p) == [p]:  # else merging never makes it of its own characters
                 self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
-        self._pair: dict[int, bool] = {}
-        self._known: dict[str, bytes] = {}
+        self._pair, self._known = Generations(2 * cache_limit), Generations(cache_limit)
+        self.caches = (self._pair, self._known)
 
     def merge(self, text: str) -> list[str]:
         """Merging proper, for short strings: the best-scored adjacent pair first, the leftmost of equals."""
@@ -94,10 +95,11 @@ class PieceCodec:
         key = left << 16 | right
         ok = self._pair.get(key)
         if ok is None:
-            if len(self._pair) >= self.cache_limit:
-                self._pair.clear()
+            ok = self._pair.recall(key)
+        if ok is None:
             a, b = self.piece[left], self.piece[right]
-            ok = self._pair[key] = a[-1] + b[0] not in self.inside or self.merge(a + b) == [a, b]
+            ok = a[-1] + b[0] not in self.inside or self.merge(a + b) == [a, b]
+            self._pair.keep(key, ok)
         return ok
 
     def backtrack(self, text: str) -> list[int]:
@@ -106,7 +108,7 @@ class PieceCodec:
         at: list[list[int]] = [[] for _ in range(n)]
         for end, (back, i) in self.automaton.iter(text):
             at[end - back].append(i)  # the ends rise, so each list goes from the shortest to the longest
-        failed, pos, out, untried = 0, 0, [], [len(x) for x in at]
+        failed, pos, out, untried = bytearray((n >> 3) + 1), 0, [], [len(x) for x in at]
         while pos < n:
             here = at[pos]
             k = untried[pos]
@@ -114,7 +116,7 @@ class PieceCodec:
                 k -= 1
                 i = here[k]
                 end = pos + len(piece[i])
-                if not failed >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     ok = not out or pair.get(out[-1] << 16 | i)
                     if ok is None:
                         ok = self.compatible(out[-1], i)
@@ -123,7 +125,7 @@ class PieceCodec:
             else:
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 untried[pos] = len(here)
                 pos -= len(piece[out.pop()])
                 continue
@@ -134,6 +136,8 @@ class PieceCodec:
 
     def _run(self, run: str) -> bytes:
         ids = self._known.get(run)
+        if ids is None:
+            ids = self._known.recall(run)
         if ids is None:
             if run in self.id and len(run) == 1:
                 found = [self.id[run]]
@@ -143,23 +147,21 @@ class PieceCodec:
                 found = [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")]
             ids = array("H", found).tobytes()
             if len(run) <= 64:  # longer ones seldom return
-                self._remember(run, ids)
+                self._known.keep(run, ids)
         return ids
 
-    def _remember(self, part: str, ids: bytes) -> None:
-        if len(self._known) >= self.cache_limit:
-            self._known.clear()
-        self._known[part] = ids
-
     def cut(self, part: str) -> bytes:
         """The ids of a part, run by run between cuts that no merge crosses."""
+        ids = self._known.recall(part)
+        if ids is not None:
+            return ids
         inside = self.inside
         cuts = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in inside), len(part)]
         if len(cuts) == 2:
             return self._run(part)
         ids = b"".join(self._run(part[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
         if len(part) <= 8:
-            self._remember(part, ids)
+            self._known.keep(part, ids)
         return ids
 
     _parts = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
@@ -224,7 +226,7 @@ _codecs: dict[int, PieceCodec] = {}
 
 
 def shared_codec(vocabulary: list[tuple[str, float, int]]) -> PieceCodec:
-    """One codec, with its caches, for all tasks of a Python worker."""
+    """One codec for all tasks of a Python worker; a task empties its caches when it ends."""
     key = hash(tuple(vocabulary))
     if key not in _codecs:
         _codecs.clear()
@@ -234,7 +236,7 @@ def shared_codec(vocabulary: list[tuple[str, float, int]]) -> PieceCodec:
 
 def _encode(vocabulary: list, keep_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = shared_codec(vocabulary)
-    for b in batches:
+    for b in slices(batches, codec.caches):
         cols: list[list] = [[], [], [], [], []]
         for text in b.column(b.num_columns - 1).to_pylist():
             packed = np.frombuffer(codec.encode_packed(text), "<u2")

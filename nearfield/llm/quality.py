@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.fertility import repeated_words
 from nearfield.llm.learning import LABELLED, first_labels
-from nearfield.llm.text import WordHash, fold, mix, splitmix
+from nearfield.llm.text import WordHash, fold, mix, slices, splitmix
 
 BITS, WIDTH, MAX_GRAM_BLOCK = 18, 16, 1 << 20
 _MASK = np.uint64((1 << BITS) - 1)
@@ -68,7 +68,7 @@ def features(text: str | None, words: WordHash) -> Iterator[np.ndarray]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHash()
-    for b in batches:
+    for b in slices(batches, [words]):
         ids, counts = [], []
         for t in b.column("text").to_pylist():
             found = list(features(t, words))
@@ -111,7 +111,7 @@ def train_embeddings(docs: list[tuple[np.ndarray, np.ndarray, int]], *, epochs:
 
 def _score(table: np.ndarray, bias: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHash()
-    for b in batches:
+    for b in slices(batches, [words]):
         z = []
         for t in b.column("text").to_pylist():
             total, n = 0.0, 0

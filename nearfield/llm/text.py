@@ -6,7 +6,7 @@ yields, so the Python and the SQL side (``WORD``) agree on every text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +30,64 @@ def splitmix(seed: int, n: int) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-class WordHash(dict):
-    """Word bytes to 64-bit hash; emptied when full, so memory stays bounded on any vocabulary."""
+class Generations(dict):
+    """A cache that keeps at most twice ``limit`` entries: when the young generation is full it becomes the old
+    one, so what is used often stays and memory is bounded on any vocabulary."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 15):
         super().__init__()
-        self.limit = limit
+        self.limit, self.old = limit, {}
 
-    def __missing__(self, word: bytes) -> int:
+    def recall(self, key):
+        """The value that the old generation has, moved to the young one; None if it has none."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+class WordHash(Generations):
+    """Word bytes to 64-bit hash. Words of over ``LONGEST`` bytes are hashed each time and not kept."""
+
+    LONGEST = 48
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
+            if len(word) > self.LONGEST:
+                return h
+        self.keep(word, h)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def slices(batches: Iterator[pa.RecordBatch], caches: Iterable[Generations] = (), rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python objects at once. At the end of the task
+    the caches are emptied and freed memory is given back, since the worker lives on."""
+    try:
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                yield b.slice(k, rows)
+            del b
+    finally:
+        for c in caches:
+            c.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)

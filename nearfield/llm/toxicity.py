@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.learning import LABELLED, first_labels, sample_share
-from nearfield.llm.text import WordHash, fold
+from nearfield.llm.text import WordHash, fold, slices
 
 BITS, MIN_DOCS, STARTS = 20, 3, (4, 5, 6)
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -41,7 +41,7 @@ def word_ids(text: str | None, words: WordHash) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHash()
-    for b in batches:
+    for b in slices(batches, [words]):
         yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([word_ids(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["y", "ids"])
 
 
@@ -130,7 +130,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 def _score(at: np.ndarray, values: np.ndarray, bias: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, weights = WordHash(), np.zeros(1 << BITS)
     weights[at] = values
-    for b in batches:
+    for b in slices(batches, [words]):
         z = np.array([bias + weights[word_ids(t, words)].sum() for t in b.column("text").to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 

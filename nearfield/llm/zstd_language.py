@@ -25,7 +25,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.text import fold
+from nearfield.llm.text import fold, slices
 
 SAMPLE, DICTIONARY, CHUNK, LEVEL, MARGIN = 200, 96 << 10, 4096, 12, 0.01
 #: A text under SHORT bytes is written REPEAT times: stored raw, as a few words would be, it has one size in
@@ -85,7 +85,7 @@ class Identifier:
 
 def _identify(contents: dict[str, bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = Identifier(contents)
-    for b in batches:
+    for b in slices(batches):
         found = [tool.identify(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -99,7 +99,7 @@ def identify(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN
 
 def _keep(contents: dict[str, bytes], margin: float, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = Identifier(contents)
-    for b in batches:
+    for b in slices(batches):
         found = [tool.identify(t) for t in b.column(at).to_pylist()]
         yield b.filter(pa.array([lang != "und" and score >= margin for lang, score in found]))
 
