@@ -6,15 +6,17 @@ one more: with a uniform draw ``u`` the rank is ``(u / (1 - u)) / (p / (1 - p))`
 ranks in order until its words are as near to the rest of its target as a prefix gets. One document, the one
 whose size best closes the gap that remains, is then added to or taken from the prefix.
 
-Draws are a hash of the seed and ``doc_id``, so reruns agree whatever the partitioning. No source is sorted
-in one task: ranks are put into ``BUCKETS`` bins, only the bin in which a source's cut falls is ordered, and
-all else is a bin number against a small table with one row per source (broadcast only while that table has
-at most ``BROADCAST_SOURCES`` rows).
+Draws are a hash of the seed and ``doc_id``, so reruns agree whatever the partitioning. Rows equal in id, text
+and source have one draw and are counted as one group, and a cut inside a group takes some of its rows. No source
+is sorted in one task: ranks are put into bins (``BINS``, more for large tables), only the bin in which a source's
+cut falls is ordered, and all else is a bin number against a small table with one row per source (broadcast only
+while that table has at most ``BROADCAST_SOURCES`` rows). Only the rows of a group that is taken in part are
+numbered, at most two groups a source.
 
 Edges: a null text has size 0; null sources form one source that sorts last; a null ``doc_id`` draws as the
-empty text; repeated rows of one id and text share one draw and one fate, one id with different texts one
-draw with ties settled by the text's hash; an empty table gives an empty result. A source without words has
-target 0 and no copies.
+empty text; repeated rows each count; one id with different texts has one draw, ties settled by the text's hash;
+other columns, whatever their names, are carried along; an empty table gives an empty result. A source without
+words has target 0 and no copies.
 """
 
 from __future__ import annotations
@@ -23,18 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.text import ascii_word_count
+from nearfield.llm.text import ascii_word_count, whole_row
 from nearfield.plans.scratch import Scratch
 
-BUCKETS, BROADCAST_SOURCES, SEED = 1 << 14, 10_000, "mix-1"
-_KEY = ["_rank", "_u", "_id", "_tie"]
+BINS, ROWS_A_BIN, BROADCAST_SOURCES, SEED = 1 << 12, 1 << 18, 10_000, "mix-1"
+_KEY = ["rank", "u", "id", "tie"]
 
 
-def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
-    """``docs`` with the columns that a draw needs: size, weight, uniform draw, tie breakers."""
+def _sized(docs: DataFrame, weight: str | None, *carried: Column) -> DataFrame:
+    """What a draw needs of each row: size, weight, uniform draw, tie breakers; and the ``carried`` columns."""
     u = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.withColumns({"_size": ascii_word_count(F.col("text")), "_w": w, "_u": u, "_id": F.col("doc_id").cast("long"), "_tie": F.xxhash64("text"), "_source": F.col("source").cast("string")})
+    return docs.select(F.col("source").cast("string").alias("source"), ascii_word_count(F.col("text")).alias("size"), w.alias("w"), u.alias("u"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"), *carried)
 
 
 def _running(col: str, order: list[Column]) -> Column:
@@ -42,97 +44,126 @@ def _running(col: str, order: list[Column]) -> Column:
 
 
 def water_fill(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """``_source, _source_size, _target``. Sources in code point order, null last, take ``weights`` in turn and
-    share the sum of all sizes; a target stops at ``cap`` sizes and the excess is shared anew by weight.
+    """``source, source_size, weighted, target``. Sources in code point order, null last, take ``weights`` in turn
+    and share the sum of all sizes; a target stops at ``cap`` sizes and the excess is shared anew by weight.
 
     Sources are filled in order of the level at which they stop: one stops if its size times ``cap`` is at
     most its share of what those before it leave. One row per source is ordered here, never documents.
     """
-    at = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
-    s = sources.withColumn("_wt", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(at, F.lit(len(weights))) + 1).cast("int")))
-    s = s.withColumn("_stop", F.col("_source_size") * F.lit(float(cap))).withColumn("_level", F.col("_stop") / F.col("_wt"))
-    order = [F.col("_level"), F.col("_source").asc_nulls_last()]
+    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    s = sources.withColumn("wt", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(at, F.lit(len(weights))) + 1).cast("int")))
+    s = s.withColumn("stop", F.col("source_size") * F.lit(float(cap))).withColumn("level", F.col("stop") / F.col("wt"))
+    order = [F.col("level"), F.col("source").asc_nulls_last()]
     whole = Window.partitionBy()
-    s = s.withColumn("_left", F.sum("_source_size").over(whole) - _running("_stop", order)).withColumn("_wleft", F.sum("_wt").over(whole) - _running("_wt", order))
-    s = s.withColumn("_full", F.col("_stop") * F.col("_wleft") <= F.col("_left") * F.col("_wt"))
-    open_ = ~F.col("_full")
-    rate = (F.sum("_source_size").over(whole) - F.sum(F.when(F.col("_full"), F.col("_stop")).otherwise(0.0)).over(whole)) / F.sum(F.when(open_, F.col("_wt"))).over(whole)
-    return s.select("_source", "_source_size", "_weighted", F.when(F.col("_full"), F.col("_stop")).otherwise(rate * F.col("_wt")).cast("double").alias("_target"))
+    s = s.withColumn("rest", F.sum("source_size").over(whole) - _running("stop", order)).withColumn("rest_wt", F.sum("wt").over(whole) - _running("wt", order))
+    s = s.withColumn("full", F.col("stop") * F.col("rest_wt") <= F.col("rest") * F.col("wt"))
+    rate = (F.sum("source_size").over(whole) - F.sum(F.when(F.col("full"), F.col("stop")).otherwise(0.0)).over(whole)) / F.sum(F.when(~F.col("full"), F.col("wt"))).over(whole)
+    return s.select("source", "source_size", "weighted", F.when(F.col("full"), F.col("stop")).otherwise(rate * F.col("wt")).cast("double").alias("target"))
 
 
-def _with_ratio(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
-    t = table.withColumnRenamed("_source", "_s")
-    return rows.join(F.broadcast(t) if n_sources <= BROADCAST_SOURCES else t, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+def _with_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` with the columns of their source's row of ``table``."""
+    t = table.withColumnRenamed("source", "of")
+    return rows.join(F.broadcast(t) if n_sources <= BROADCAST_SOURCES else t, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
-def _ranked(rows: DataFrame, cap: float) -> DataFrame:
-    """Certain copies, the chance of one more, the rank and its bin (null where there is no chance)."""
-    m = F.least(F.lit(float(cap)), F.when(F.col("_weighted") > 0, F.col("_target") / F.col("_weighted") * F.col("_w")).otherwise(0.0))
-    rows = rows.withColumn("_m", m).withColumn("_sure", F.floor("_m")).withColumn("_p", F.col("_m") - F.col("_sure"))
-    x = (F.col("_u") + 0.5) / F.lit(float(1 << 52))
-    rank = F.when(F.col("_p") > 0, (x / (1 - x)) * ((1 - F.col("_p")) / F.col("_p")))
-    rows = rows.withColumn("_rank", rank)
-    return rows.withColumn("_bin", F.floor(F.lit(float(BUCKETS)) * F.col("_rank") / (1 + F.col("_rank"))))
+def _joined(table: DataFrame, more: DataFrame) -> DataFrame:
+    return table.join(more.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def _ranked(rows: DataFrame, cap: float, bins: int) -> DataFrame:
+    """Certain copies, the chance of one more, the rank and its bin (null where there is no chance). Bins go by the
+    rank times the odds that an average row of the source has, which spreads a source's rows over all of them."""
+    ratio = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0)
+    rows = rows.withColumn("m", F.least(F.lit(float(cap)), ratio * F.col("w"))).withColumn("sure", F.floor("m")).withColumn("p", F.col("m") - F.col("sure"))
+    x = (F.col("u") + 0.5) / F.lit(float(1 << 52))
+    rows = rows.withColumn("rank", F.when(F.col("p") > 0, (x / (1 - x)) * ((1 - F.col("p")) / F.col("p"))))
+    mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    usual = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), mean - F.floor(mean)))
+    even = F.col("rank") * (usual / (1 - usual))
+    return rows.withColumn("bin", F.floor(F.lit(float(bins)) * even / (1 + even)))
 
 
 class Mix:
     """The plan of one mix: ``table`` has a row per source with its target, cut and closing document."""
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, weight: str | None = None):
-        self.cap, self.weight = cap, weight
+        self.cap = cap
         scratch = Scratch(docs.sparkSession, "mix")
-        self.slim = scratch.save(_sized(docs.select("doc_id", "text", "source", *[weight] * bool(weight)), weight).select("doc_id", "source", "_source", "_size", "_w", "_u", "_id", "_tie"), "slim")
-        sources = self.slim.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.sum(F.col("_w") * F.col("_size")).alias("_weighted"))
-        targets = scratch.save(water_fill(sources, weights, cap), "targets")
-        self.n_sources = targets.count()
-        ranked = _ranked(_with_ratio(self.slim, targets, self.n_sources), cap)
-        bins = ranked.groupBy("_source", "_bin").agg(F.sum("_size").alias("words"), F.sum(F.col("_size") * F.col("_sure")).alias("sure"))
-        w = Window.partitionBy("_source")
-        before = F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("words"))).over(w.orderBy(F.col("_bin").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        bins = _with_ratio(bins.withColumn("sure", F.sum("sure").over(w)).withColumn("before", before), targets, self.n_sources).withColumn("rest", F.col("_target") - F.col("sure"))
-        cut = bins.where(F.col("_bin").isNotNull()).groupBy("_source").agg(F.max("rest").alias("_rest"), F.max(F.when(F.col("before") < F.col("rest"), F.struct("_bin", "before"))).alias("_at"))
-        table = scratch.save(targets.join(cut.withColumnRenamed("_source", "_c"), F.col("_source").eqNullSafe(F.col("_c")), "left").drop("_c"), "cuts")
-        edge = _ranked(_with_ratio(self.slim, table, self.n_sources), cap).where(F.col("_bin") == F.col("_at._bin"))
-        so_far = F.sum("_size").over(w.orderBy(*_KEY).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_at.before")
-        edge = edge.withColumn("_sum", so_far).where(2 * F.col("_sum") - F.col("_size") <= 2 * F.col("_rest"))
-        last = edge.groupBy("_source").agg(F.max(F.struct(*_KEY)).alias("_last"), F.max("_sum").alias("_taken"))
-        table = table.join(last.withColumnRenamed("_source", "_c"), F.col("_source").eqNullSafe(F.col("_c")), "left").drop("_c")
-        self.table = scratch.save(table.withColumn("_gap", F.col("_rest") - F.coalesce("_taken", "_at.before", F.lit(0))), "table")
-        near = self._taken(_ranked(_with_ratio(self.slim, self.table, self.n_sources), cap)).where(F.col("_bin").isNotNull())
-        left = F.abs(F.col("_gap") - F.when(F.col("_in"), -F.col("_size")).otherwise(F.col("_size")))
-        fits = (F.col("_in") == (F.col("_gap") < 0)) & (left < F.abs("_gap"))
-        fix = near.where(fits).groupBy("_source").agg(F.min(F.struct(left.alias("left"), *_KEY)).alias("_x"))
-        fix = fix.select(F.col("_source").alias("_c"), F.struct(*[F.col(f"_x.{k}").alias(k) for k in _KEY]).alias("_fix"))
-        self.table = scratch.save(self.table.join(fix, F.col("_source").eqNullSafe(F.col("_c")), "left").drop("_c"), "final")
+        self.slim = scratch.save(_sized(docs, weight, F.col("doc_id")), "slim")
+        groups = scratch.save(self.slim.groupBy("source", "size", "w", "u", "id", "tie").agg(F.count("*").alias("n")), "groups")
+        sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.col("w") * F.col("size") * F.col("n")).alias("weighted"), F.count("*").alias("groups"))
+        sources = scratch.save(sources, "sources")
+        self.n_sources, largest = sources.agg(F.count("*"), F.coalesce(F.max("groups"), F.lit(0))).first()
+        self.bins = max(BINS, 1 << max(0, (largest // ROWS_A_BIN).bit_length()))
+        targets = scratch.save(water_fill(sources.drop("groups"), weights, cap), "targets")
+        ranked = self._ranked(groups, targets)
+        bins = ranked.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum(F.col("size") * F.col("sure") * F.col("n")).alias("sure"))
+        w = Window.partitionBy("source")
+        before = F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("words"))).over(w.orderBy(F.col("bin").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bins = _with_source(bins.withColumn("sure", F.sum("sure").over(w)).withColumn("before", before), targets, self.n_sources).withColumn("rest", F.col("target") - F.col("sure"))
+        cut = bins.where(F.col("bin").isNotNull()).groupBy("source").agg(F.max("rest").alias("rest"), F.max(F.when(F.col("before") < F.col("rest"), F.struct("bin", "before"))).alias("at"))
+        table = scratch.save(_joined(targets, cut), "cuts")
+        edge = self._ranked(groups, table).where(F.col("bin") == F.col("at.bin"))
+        edge = edge.withColumn("so_far", F.coalesce(F.sum(F.col("size") * F.col("n")).over(w.orderBy(*_KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("at.before"))
+        fits = F.floor((2 * (F.col("rest") - F.col("so_far")) + F.col("size")) / (2 * F.col("size")))  # rows of the group, in a prefix nearest to the rest
+        fits = F.when(F.col("size") == 0, F.when(F.col("so_far") <= F.col("rest"), F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), fits)).cast("long")
+        edge = edge.withColumn("k", fits).where("k > 0").withColumn("taken", F.col("so_far") + F.col("k") * F.col("size"))
+        last = edge.groupBy("source").agg(F.max(F.struct(*_KEY, "k", "n", "taken")).alias("end"))
+        last = last.select("source", F.struct(*[F.col(f"end.{c}") for c in _KEY]).alias("last"), F.col("end.k").alias("last_k"), F.col("end.n").alias("last_n"), F.col("end.taken").alias("taken"))
+        table = _joined(table, last)
+        table = scratch.save(table.withColumn("gap", F.col("rest") - F.coalesce("taken", "at.before", F.lit(0))), "table")
+        near = self._taken(self._ranked(groups, table)).where(F.col("bin").isNotNull())
+        left = F.abs(F.abs("gap") - F.col("size"))
+        able = F.when(F.col("gap") < 0, F.col("inside") > 0).otherwise(F.col("inside") < F.col("n"))
+        fix = near.where(able & (F.col("gap") != 0) & (left < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(left.alias("left"), *_KEY, "n", "inside")).alias("x"))
+        fix = fix.select("source", F.struct(*[F.col(f"x.{k}") for k in _KEY]).alias("fix"), F.col("x.n").alias("fix_n"), F.col("x.inside").alias("fix_inside"))
+        table = _joined(table, fix)
+        some = lambda e, n: (F.col(e) > 0) & (F.col(e) < F.col(n))
+        end = F.col("last_k") + F.when(F.col("fix") == F.col("last"), F.signum("gap")).otherwise(0)
+        table = table.withColumn("last_k", F.coalesce(end, F.col("last_k")).cast("long")).withColumn("fix_k", (F.col("fix_inside") + F.signum("gap")).cast("long"))
+        self.table = scratch.save(table.withColumn("parts", F.coalesce(some("last_k", "last_n"), F.lit(False)) | F.coalesce(some("fix_k", "fix_n"), F.lit(False))), "final")
+        self.parts = not self.table.where("parts").isEmpty()
+
+    def _ranked(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        return _ranked(_with_source(rows, table, self.n_sources), self.cap, self.bins)
 
     @staticmethod
-    def _taken(rows: DataFrame) -> DataFrame:
+    def _taken(groups: DataFrame) -> DataFrame:
+        """``inside``: the rows of a group that the prefix holds."""
         key = F.struct(*_KEY)
-        inside = (F.col("_bin") < F.col("_at._bin")) | ((F.col("_bin") == F.col("_at._bin")) & (key <= F.col("_last")))
-        return rows.withColumn("_in", F.coalesce(inside, F.lit(False)))
+        whole = (F.col("bin") < F.col("at.bin")) | ((F.col("bin") == F.col("at.bin")) & (key < F.col("last")))
+        return groups.withColumn("inside", F.when(key == F.col("last"), F.col("last_k")).when(whole, F.col("n")).otherwise(0))
 
     def copies(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (sized) with ``_copies``, how often the mix takes each."""
-        rows = self._taken(_ranked(_with_ratio(rows, self.table, self.n_sources), self.cap))
-        fix = F.coalesce(F.struct(*_KEY) == F.col("_fix"), F.lit(False)) & F.col("_bin").isNotNull()
-        return rows.withColumn("_copies", F.col("_sure").cast("int") + (F.col("_in") != fix).cast("int"))
+        """``rows`` (sized) with their source's columns and ``copies``, how often the mix takes each."""
+        rows, key = self._ranked(rows, self.table), F.struct(*_KEY)
+        yes = lambda c: F.coalesce(c, F.lit(False)) & F.col("bin").isNotNull()
+        is_fix, is_last = yes(key == F.col("fix")), yes(key == F.col("last"))
+        whole = yes((F.col("bin") < F.col("at.bin")) | ((F.col("bin") == F.col("at.bin")) & (key < F.col("last"))))
+        # how many rows of the row's group have one copy more, and of how many; of groups that aren't at a cut all or none
+        rows = rows.withColumn("more", F.when(is_last, F.col("last_k")).when(is_fix, F.col("fix_k")).otherwise(whole.cast("long")))
+        rows = rows.withColumn("of", F.when(is_last, F.col("last_n")).when(is_fix, F.col("fix_n")).otherwise(1))
+        if self.parts:
+            part = (F.col("more") > 0) & (F.col("more") < F.col("of"))
+            nth = F.row_number().over(Window.partitionBy("source", *_KEY, "size", "w").orderBy(F.lit(0)))
+            numbered = rows.where(part).withColumn("more", (nth <= F.col("more")).cast("long"))
+            rows = rows.where(~part).unionByName(numbered)
+        return rows.withColumn("copies", F.col("sure").cast("int") + (F.col("more") > 0).cast("int"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, weight: str | None = None) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it. ``weight`` names a
     column of relative preferences within a source."""
     plan = Mix(docs, weights, cap, weight)
-    return _repeat(plan.copies(_sized(docs, weight)), docs.columns)
-
-
-def _repeat(rows: DataFrame, columns: list[str]) -> DataFrame:
-    times = F.expr("CASE WHEN _copies > 0 THEN array_repeat(0, _copies) END")
-    return rows.select(*columns, F.explode(times).alias("_copy")).select(*columns)
+    rows = plan.copies(_sized(docs, weight, whole_row(docs)))
+    times = F.expr("CASE WHEN copies > 0 THEN array_repeat(0, copies) END")
+    return rows.select("row", F.explode(times)).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     plan = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.copies(plan.slim).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return plan.copies(plan.slim).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP1_SQL = r"""

@@ -44,7 +44,7 @@ def labels(spark):
 
 
 OPERATORS = {
-    "mix": lambda d, l: mixing.Mix(d).copies(mixing._sized(d, None)),
+    "mix": lambda d, l: (lambda plan: plan.copies(plan.slim))(mixing.Mix(d)),
     "toxicity": lambda d, l: toxicity.score_toxicity(d, toxicity.learn_toxicity(d, l, F.lit(True))),
     "near_duplicates": lambda d, l: minhash_paths.near_duplicates(d),
     "lines": lambda d, l: line_align.remove_common_lines(d),

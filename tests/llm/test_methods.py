@@ -42,15 +42,33 @@ def test_matches_sql(spark, name):
 def test_mix_words_and_weights(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     plan = mixing.Mix(docs)
-    got = plan.copies(plan.slim).groupBy("source").agg(F.max("_target").alias("t"), F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.max("_copies").alias("most")).collect()
+    got = plan.copies(plan.slim).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most")).collect()
     assert all(abs(r.t - r.taken) <= 0.05 * r.t and r.most <= 3 for r in got)
     odd = F.floor(F.col("doc_id") / 20) % 2  # every source has both
     heavy = docs.withColumn("w", (odd * 9 + 1).cast("double"))
-    out = mixing.Mix(heavy, weight="w").copies(mixing._sized(heavy, "w"))
-    share = out.groupBy(odd.alias("odd")).agg(F.avg("_copies").alias("c")).orderBy("odd").collect()
+    plan = mixing.Mix(heavy, weight="w")
+    share = plan.copies(plan.slim).groupBy(odd.alias("odd")).agg(F.avg("copies").alias("c")).orderBy("odd").collect()
     assert share[1].c > 2 * share[0].c
 
 
+def test_a_cut_inside_repeated_rows_meets_the_target(spark):
+    rows = [(k, "w " * 50, "a") for k in range(1000)] + [(5000, "w " * 40, "b")] * 900 + [(k, "w " * 40, "b") for k in range(6000, 6100)] + [(None, "w " * 7, "c")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.Mix(docs)
+    got = plan.copies(plan.slim).groupBy("source").agg(F.count("*").alias("n"), F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("size").alias("s")).collect()
+    assert {r.source: r.n for r in got} == {"a": 1000, "b": 1000, "c": 400} and all(abs(r.t - r.taken) <= r.s / 2 for r in got)
+    out = {r.source: r["count"] for r in mixing.mix_documents(docs.withColumn("copies", F.lit(1))).groupBy("source").count().collect()}
+    assert out == {r.source: r.taken // r.s for r in got}
+    twice = spark.createDataFrame(rows[::7] * 2, "doc_id long, text string, source string")
+    duck = duckdb.connect()
+    duck.register("documents", twice.toPandas())
+    plan = mixing.Mix(twice)
+    found = plan.copies(plan.slim).selectExpr("doc_id", "size * copies").collect()
+    want = duck.sql(queries.ORACLE_SQL["op1_mixing"].replace("doc_id::VARCHAR", "doc_id::BIGINT::VARCHAR")).fetchall()
+    plain = lambda x: (x is None or x != x, 0 if x is None or x != x else int(x))
+    assert sorted((plain(i), t) for i, t in found) == sorted((plain(w[0]), w[4]) for w in want)
+
+
 def jaccard_components(sets, num, den):
     parent = {k: k for k in sets}
 
