@@ -30,9 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that loses lines and has no word left is a copy of earlier ones and goes; ``n_chars``
     follows the text that is left."""
     found = remove_common_lines(docs)
-    found = found.withColumn("n_chars", F.when(F.col("_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    emptied = (F.col("_lines_removed") > 0) & ~F.col("text").rlike(WORD)
-    return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    found = found.where((F.col("removed") == 0) | F.col("row.text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("row", F.when(F.col("removed") == 0, F.col("row")).otherwise(F.col("row").withField("n_chars", F.length("row.text").cast(kind))))
+    return found.select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ together. An anchor that several documents hold makes pairs of a later and an ea
 earlier holder while it is rare (at most ``RARE`` holders), and beyond that with its first holder alone, which
 is enough to find it, since the first holder is compared with its whole text. So a line held by a third of all
 documents makes one pair a document, and no count is capped. Every block that can be deleted is covered by
-anchors, so each is found.
+anchors inside it, and each of these goes with its first holder, so what is deleted doesn't depend on ``RARE``.
 
 A pair is aligned by patience diff: lines unique on both sides, the longest increasing run of them, then the
 same between neighbours, with equal lines next to an anchor taken along. The common lines that the alignment
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.text import slices
+from nearfield.llm.text import slices, whole_row
 from nearfield.plans.scratch import Scratch
 
 ANCHOR_WORDS, RARE, BLOCK_WORDS = 8, 4, 8
@@ -174,8 +174,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], names=["ord", "th", "gone"])
 
 
-def deletions(docs: DataFrame) -> DataFrame:
-    """``ord, th, gone``: the sorted positions of the lines that each later document loses."""
+def deletions(docs: DataFrame, rare: int = RARE) -> DataFrame:
+    """``ord, th, gone``: the sorted positions of the lines that each later document loses. An anchor of at most
+    ``rare`` holders pairs each with every earlier one, which changes nothing but which pair finds a block."""
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.save(slim.mapInArrow(_lines, "ord long, th long, hashes binary, words binary, anchors array<long>").dropDuplicates(["ord", "th"]), "lines")
@@ -184,9 +185,9 @@ def deletions(docs: DataFrame) -> DataFrame:
     first = scratch.save(first, "shared")
     held = scratch.save(held.join(first, "h"), "held")
     earlier = F.struct(F.col("e.ord"), F.col("e.th")) < F.struct(F.col("l.ord"), F.col("l.th"))
-    rare = held.where(F.col("n") <= RARE)
-    near = rare.alias("l").join(rare.alias("e"), (F.col("l.h") == F.col("e.h")) & earlier).select("l.ord", "l.th", F.col("e.ord").alias("e_ord"), F.col("e.th").alias("e_th"))
-    far = held.where((F.col("n") > RARE) & (F.struct("ord", "th") > F.col("first"))).select("ord", "th", F.col("first.ord").alias("e_ord"), F.col("first.th").alias("e_th"))
+    few = held.where(F.col("n") <= rare)
+    near = few.alias("l").join(few.alias("e"), (F.col("l.h") == F.col("e.h")) & earlier).select("l.ord", "l.th", F.col("e.ord").alias("e_ord"), F.col("e.th").alias("e_th"))
+    far = held.where((F.col("n") > rare) & (F.struct("ord", "th") > F.col("first"))).select("ord", "th", F.col("first.ord").alias("e_ord"), F.col("first.th").alias("e_th"))
     pairs = near.union(far).distinct()
     own = lines.select("ord", "th", "hashes", "words")
     other = lines.select(F.col("ord").alias("e_ord"), F.col("th").alias("e_th"), F.col("hashes").alias("e_hashes"))
@@ -195,19 +196,19 @@ def deletions(docs: DataFrame) -> DataFrame:
     return gone.select("ord", "th", F.explode("gone").alias("at")).groupBy("ord", "th").agg(F.array_sort(F.collect_set("at")).alias("gone"))
 
 
-def remove_common_lines(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with ``text`` less its deleted lines, and ``lines_removed``, ``lines`` beside."""
-    gone = deletions(docs).select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    rows = docs.withColumn("_o", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_t", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    rows = rows.join(gone, (F.col("_o") == F.col("_ord")) & (F.col("_t") == F.col("_th")), "left")
-    left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(_gone, i)), '\\n')")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    out = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return rows.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("_lines_removed"), lines.alias("_lines"))
+def remove_common_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+    """``row``, a struct of the columns of ``docs`` with ``text`` less its deleted lines; ``lines``, how many lines
+    the text had, and ``removed``, how many of them went."""
+    gone = deletions(docs, rare)
+    rows = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("t"))
+    rows = rows.join(gone, (F.col("o") == F.col("ord")) & (F.col("t") == F.col("th")), "left")
+    left = F.expr("array_join(filter(split(row.text, '\\n', -1), (x, i) -> NOT array_contains(gone, i)), '\\n')")
+    row = F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField("text", left))
+    lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1)))
+    return rows.select(row.alias("row"), lines.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = remove_common_lines(docs)
-    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lines_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    text = F.col("row.text")
+    return remove_common_lines(docs).select("row.doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))

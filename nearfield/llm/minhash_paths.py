@@ -8,8 +8,8 @@ compared exhaustively. A larger node is branched again on
 the node is dense, branching would not shrink it, and it is cut into blocks whose pairs of blocks are
 compared instead, each in its own task. Nothing is dropped at any size.
 
-A pair is looked at in the first tree in which its signatures meet, and in later ones as long as it met in
-roots that were branched further only, where it may have been parted. Signatures only rule pairs out
+A pair is looked at in every tree whose root it shares, until one of them has compared it: a root that was
+branched further may have parted it, so that the trees that follow look at it again. Signatures only rule pairs out
 (where so few coordinates agree that a pair at the threshold has them with probability ``miss`` at most); each
 link is confirmed on the full sets.
 Within a node, links that would join what is already joined are skipped, so a node of n classes yields at
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.text import WordHash, shingles, sorted_runs, splitmix
+from nearfield.llm.text import WordHash, shingles, slices, sorted_runs, splitmix, whole_row
 from nearfield.operators.components import connected_components
 from nearfield.plans.scratch import Scratch
 
@@ -49,8 +49,8 @@ def least_agreement(threshold: float, miss: float) -> int:
     return COORDS
 
 
-def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, of) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, words: WordHash, of) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, [words]):
         out = [of(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         yield pa.RecordBatch.from_pylist([], schema) if not out else pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -69,13 +69,13 @@ def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             np.minimum(low, ((s[k : k + 8192, None] ^ b) * a).min(axis=0), out=low)
         return doc_id, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), (low >> np.uint64(32)).astype("<u4").tobytes()
 
-    yield from _rows(batches, schema, one)
+    yield from _rows(batches, schema, words, one)
 
 
 def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, schema = WordHash(), pa.schema([("digest", pa.binary()), ("members", pa.binary())])
     one = lambda text: (xxhash.xxh3_128_digest(s := shingles(text, width, words).tobytes()), s)
-    yield from _rows(batches, schema, one)
+    yield from _rows(batches, schema, words, one)
 
 
 def _plausible(sig: np.ndarray, n: np.ndarray, blk: np.ndarray, tree: int, cross: bool, parted: int, i: int, lo: int, hi: int, need: int, threshold: float) -> np.ndarray:
@@ -216,7 +216,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     scratch = Scratch(docs.sparkSession, "paths")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(texts.mapInArrow(partial(_sign, width), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    of_text = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(of_text).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = classes.select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "sig")
     classes = scratch.save(classes, "classes")
     nodes, parted = _nodes(classes, scratch, (node_limit, shingle_limit), branch, max_depth)
     known = classes.select("digest", "n", "sig")
@@ -226,8 +228,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     fields = "path long, bi int, bj int, blk int, tree int, digest binary, n long, sig binary, parted int"
     sieved = nodes.select(*[x.split()[0] for x in fields.split(", ")]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_sieve, need, t), fields)
     sieved = scratch.save(sieved, "sieved")
-    wanted = sieved.select("digest").distinct().join(classes, "digest").select(F.col("rep").alias("doc_id"))
-    sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(partial(_sets, width), "digest binary, members binary")
+    wanted = sieved.select("digest").distinct().join(classes, "digest").select("rep", "rep_hash")
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_hash"))
+    sets = texts.join(wanted, is_rep, "left_semi").select("text").mapInArrow(partial(_sets, width), "digest binary, members binary").dropDuplicates(["digest"])
     full = sieved.join(sets, "digest").repartition(*keys).sortWithinPartitions(*keys)
     links = scratch.save(full.mapInArrow(partial(_link, need, num, den), "src binary, dst binary"), "links")
     comp = connected_components(links)
@@ -240,12 +243,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group; repeated rows of one id and text become one."""
+    """``docs`` with the document of the smallest id of each group; repeated rows of one id and text become one,
+    that of the smallest hash over all columns."""
     found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
-    return hashed.join(kept.distinct(), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    kept = found.select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in plain])
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash"), order.alias("order"))
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & F.col("hash").eqNullSafe(F.col("keep_hash"))
+    return rows.join(kept, same, "left_semi").groupBy("id", "hash").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

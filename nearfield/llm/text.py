@@ -130,7 +130,7 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
     Integer columns come as arrays, others as lists. One run is held at a time, besides its batch.
     """
     rest: dict[str, list | np.ndarray] | None = None
-    for b in batches:
+    for b in slices(batches, rows=1024):
         cols: dict[str, list | np.ndarray] = {}
         for name, col in zip(b.schema.names, b.columns, strict=True):
             cols[name] = col.to_numpy(zero_copy_only=False) if pa.types.is_integer(col.type) else col.to_pylist()
