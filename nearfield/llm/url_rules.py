@@ -7,8 +7,10 @@ stack when the sweep reaches it and popped when it has passed, so the stack hold
 hosts contain the URL's, the innermost on top. Of those whose path begins the URL's path, the rule with the
 longest text wins (host and path together; of two verdicts for one rule, block).
 
-The cut keys end in the path and a hash of the row, so a host, or one URL, that holds a third of all rows is
-split over as many ranges as it needs. No side is broadcast or collected.
+The cut keys end in a hash of the row, so a host, or one URL, that holds a third of all rows is split over as
+many ranges as it needs; only rows equal in id and path stay together, in a sweep that holds one batch. There are
+at most ``MOST_RANGES`` ranges, whose rows are sorted with spilling; the driver gathers ``MOST_KEYS`` sampled keys
+at most, of ``KEY_CHARS`` characters of the host, and tasks get one a range. No URL or rule is collected.
 
 Edges: a null url, or one without ``://``, has an empty host and path, which no rule with a host fits; rules
 with a null host or path are ignored; repeated rows and null ids are judged like others; an empty rule table
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _END = "\U0010ffff"
-ROWS_A_RANGE, KEYS_A_RANGE = 100_000, 24
+ROWS_A_RANGE, KEYS_A_RANGE, MOST_RANGES, MOST_KEYS, KEY_CHARS = 500_000, 24, 20_000, 200_000, 200
 
 #: host, path, verdict
 PRODUCTION_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -43,7 +45,7 @@ def _parts(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.translate(F.regexp_extract(url, _URL, 1), UPPER, LOWER).alias("host"), F.regexp_extract(url, _URL, 2).alias("path"))
     rows = rows.withColumn("key", _key(F.col("host")))
-    return rows.withColumn("cut", F.concat_ws("\x00", "key", "path", F.hex(F.xxhash64("page_id", "path"))))
+    return rows.withColumn("cut", F.concat_ws("\x00", F.substring("key", 1, KEY_CHARS), F.hex(F.xxhash64("page_id", "path"))))
 
 
 def _deal(cuts: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +94,14 @@ def match_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     ``host``, ``path`` and ``verdict`` (allow or block)."""
     spark = pages.sparkSession
     urls = _parts(pages)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n := pages.count()) // ROWS_A_RANGE))
-    share = min(1.0, ranges * KEYS_A_RANGE / max(1, n))
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n := pages.count()) // ROWS_A_RANGE)))
+    share = min(1.0, min(ranges * KEYS_A_RANGE, MOST_KEYS) / max(1, n))
     keys = sorted(r[0] for r in urls.where(F.pmod(F.xxhash64("cut", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("cut").collect())
     cuts = [keys[k * len(keys) // ranges] for k in range(1, ranges)] if len(keys) >= ranges else sorted(set(keys))
     rules = rules.select(F.translate(F.col("host"), UPPER, LOWER).alias("host"), "path", "verdict").where(F.col("host").isNotNull() & F.col("path").isNotNull()).withColumn("key", _key(F.col("host")))
     fields = "page_id long, host string, path string, verdict string, key string, is_url boolean, cut string, upto string"
     names = [f.split()[0] for f in fields.split(", ")]
-    ends = rules.select(F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict", "key", F.lit(False).alias("is_url"), F.col("key").alias("cut"), F.concat("key", F.lit(_END)).alias("upto"))
+    ends = rules.select(F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict", "key", F.lit(False).alias("is_url"), F.substring("key", 1, KEY_CHARS).alias("cut"), F.concat(F.substring("key", 1, KEY_CHARS), F.lit(_END)).alias("upto"))
     rows = urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("verdict"), "key", F.lit(True).alias("is_url"), "cut", F.col("cut").alias("upto"))
     dealt = rows.select(*names).union(ends.select(*names)).mapInArrow(partial(_deal, cuts), "lo int, hi int, " + fields)
     dealt = dealt.select(F.explode(F.sequence("lo", "hi")).alias("part"), "is_url", "key", "path", "page_id", "host", "verdict")
