@@ -1,7 +1,7 @@
 """Operator 7: quality by supervised subword embeddings.
 
-Hashed words, character 3- and 4-grams (as bytes, across no inner space) and a marker for each repeated
-3-word window have learned vectors; a document is their average, and a softmax over it gives the label. The
+Hashed words and character 3- and 4-grams (as bytes, across no inner space) have learned vectors; a document
+is their average, and a softmax over it gives the label. The
 vectors and the output layer are trained together by stochastic gradient descent, document by document, with
 a rate that falls to zero. As everything between the vectors and the two logits is linear, scoring needs one
 number per feature: its vector's dot product with the difference of the output rows.
@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.fertility import repeated_words
-from nearfield.llm.learning import LABELLED, first_labels
+from nearfield.llm.learning import LABELLED, all_labels, fewest, first_labels, labelled_texts
 from nearfield.llm.text import WordHash, fold, mix, slices, splitmix
 
 BITS, WIDTH, MAX_GRAM_BLOCK = 18, 16, 1 << 20
@@ -32,7 +31,6 @@ _MASK = np.uint64((1 << BITS) - 1)
 _GRAM = {n: (splitmix(40 + n, n) | np.uint64(1)) for n in (3, 4)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-REPEAT = 0  # feature number of the repetition marker
 
 
 def _grams(raw: bytes) -> Iterator[np.ndarray]:
@@ -63,7 +61,6 @@ def features(text: str | None, words: WordHash) -> Iterator[np.ndarray]:
         return
     yield (mix(h) & _MASK).astype(np.int32)
     yield from _grams(raw)
-    yield np.full(8 * repeated_words(h), REPEAT, np.int32)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +70,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column("text").to_pylist():
             found = list(features(t, words))
             i, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int32), np.empty(0, np.int64))
-            ids.append(i.astype(np.int32).tobytes())
-            counts.append(n.astype(np.float32).tobytes())
+            some = fewest(i)
+            ids.append(i[some].astype(np.int32).tobytes())
+            counts.append(n[some].astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["y", "ids", "counts"])
 
 
@@ -124,7 +122,7 @@ def _score(table: np.ndarray, bias: float, batches: Iterator[pa.RecordBatch]) ->
 
 def learn_quality(docs: DataFrame, labels: DataFrame, use, bound: int = LABELLED) -> tuple[np.ndarray, float]:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = slim.join(F.broadcast(first_labels(labels, "quality", use, bound)), "doc_id").select("y", "text")
+    rows = labelled_texts(slim, first_labels(all_labels(labels, "quality", use), bound))
     sample = []
     for r in rows.mapInArrow(_packed, "y int, ids binary, counts binary").collect():
         n = np.frombuffer(r.counts, np.float32)

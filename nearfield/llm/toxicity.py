@@ -7,8 +7,9 @@ along its gradient instead, so a flexible model can't drive the risk below zero
 l1 step, scaled to what chance would do in as many examples, keeps only words that tell, which is what keeps
 long clean texts from adding up noise.
 
-Labels tell which examples are confirmed and give the prior, their mean; negative labels aren't used.
-Samples are bounded as ``learning`` says.
+Labels tell which examples are confirmed, and their mean over all labelled ids is the prior. Negative labels
+count in that mean alone; no negative example is learnt from. At most ``LABELLED`` confirmed examples and about
+as many unlabelled texts are, as ``learning`` says.
 
 Edges: a null or empty text scores the model's bias; null ids, repeated rows and other columns change
 nothing; without a positive label every score is the prior (0 if there are no labels at all).
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.learning import LABELLED, first_labels, sample_share
+from nearfield.llm.learning import LABELLED, all_labels, fewest, first_labels, labelled_texts, sample_texts
 from nearfield.llm.text import WordHash, fold, slices
 
 BITS, MIN_DOCS, STARTS = 20, 3, (4, 5, 6)
@@ -42,7 +43,8 @@ def word_ids(text: str | None, words: WordHash) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHash()
     for b in slices(batches, [words]):
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([word_ids(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["y", "ids"])
+        ids = [word_ids(t, words) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([x[fewest(x)].tobytes() for x in ids], pa.binary())], names=["y", "ids"])
 
 
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 40, steps: int = 400, rate: float = 0.5, l1: float = 2.0, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -137,12 +139,12 @@ def _score(at: np.ndarray, values: np.ndarray, bias: float, batches: Iterator[pa
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, use, bound: int = LABELLED) -> tuple[np.ndarray, float]:
     """A model from the labels of ids that ``use`` admits and from unlabelled rows of those ids."""
-    sample = first_labels(labels, "toxic", use, bound)
-    n, positives = sample.agg(F.count("*"), F.sum("y")).first()
+    known = all_labels(labels, "toxic", use)
+    n, positives = known.agg(F.count("*"), F.sum("y")).first()
     prior = (positives or 0) / n if n else 0.0
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    confirmed = slim.join(F.broadcast(sample.where("y = 1")), "doc_id").select("text", F.lit(1).alias("y"))
-    any_ = slim.where(sample_share(slim, use, bound)).select("text", F.lit(0).alias("y"))
+    confirmed = labelled_texts(slim, first_labels(known.where("y = 1"), bound))
+    any_ = sample_texts(slim, use, bound).select(F.lit(0).alias("y"), "text")
     found = confirmed.union(any_).mapInArrow(_features, "y int, ids binary").collect()
     take = lambda y: [np.frombuffer(x, np.int32) for x in sorted(r.ids for r in found if r.y == y)]
     mixed = lambda docs: [docs[k] for k in np.random.default_rng(3).permutation(len(docs))]

@@ -15,12 +15,13 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from nearfield.llm import bloom_lookup, fertility, line_align, minhash_paths, mixing, pieces, queries, toxicity, url_rules, zstd_language
+from nearfield.llm import bloom_lookup, fertility, learning, line_align, minhash_paths, mixing, pieces, queries, toxicity, url_rules, zstd_language
 from nearfield.llm.text import WordHash
 from nearfield.plans.scratch import Scratch
 from tests.conftest import SMALL
 
 MID = "/root/testdata/sf0.01"
+WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
 
 
 @pytest.fixture(scope="module")
@@ -157,7 +158,7 @@ def test_shared_lines_go_from_the_later_document(spark):
     line = lambda c: " ".join(f"{c}{k}" for k in range(12))
     rows = [(1, f"{line('a')}\n{line('b')}"), (2, f"own words here\n{line('b')}\n{line('a')}\nend"), (3, f"{line('c')}\nshort"), (4, f"{line('c')}\nshort\nmine")]
     rows += [(10 + k, f"{line('f')}\nkept {k}") for k in range(20)]
-    left = {r.doc_id: r.text for r in line_align.remove_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {r.doc_id: r.text for r in line_align.remove_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*").collect()}
     assert left[1] == rows[0][1] and left[2] == "own words here\nend" and left[3] == rows[2][1] and left[4] == "mine"
     assert left[10] == rows[4][1] and all(left[10 + k] == f"kept {k}" for k in range(1, 20))
 
@@ -183,16 +184,21 @@ def test_every_copy_of_a_repeated_line_goes(spark):
     assert line_align.common_blocks(a, b, words) == [1]
     assert line_align.common_blocks(b, a, np.array([1, 60, 1, 60, 1], np.int32)) == [1, 3]
     rows = [(1, f"q0\n{LINE}\nq1\n{LINE}\nq2")] + [(k, f"r{k}\n{LINE}\nt{k}\n{LINE}\nu{k}") for k in range(2, 12)]
-    left = {r.doc_id: r.text for r in line_align.remove_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {r.doc_id: r.text for r in line_align.remove_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*").collect()}
     assert left[1] == rows[0][1] and all(left[k] == f"r{k}\nt{k}\nu{k}" for k in range(2, 12))
 
 
-def test_deleted_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("rare", [0, 1, line_align.RARE, 100])
+def test_deleted_lines_equal_brute_force(spark, rare):
     rng = random.Random(6)
     lines = [" ".join(f"l{k}w{n}" for n in range(1 + k % 9)) for k in range(30)] + ["", " "]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14)))) for i in range(60)]
     verse = [f"six words of a verse {k}" for k in range(10)]  # no line is long
     rows += [(100 + i, "\n".join([f"mine {i}", *verse, f"end {i}"])) for i in range(12)]
+    for k, holders in enumerate((3, 4, 5, 8)):  # what goes doesn't depend on how many hold a line
+        q, at = " ".join(f"q{k}w{n}" for n in range(12)), 1000 * (k + 1)
+        rows += [(at, f"{q}\nz\n{q}")] + [(at + i, f"own {i}\n{q}\nend {i}") for i in range(1, holders)]
+        rows += [(at + 500, f"f{q}")] + [(at + 500 + i, f"own {i}\nshort a{k}\nf{q}\nshort b{k}\nend {i}") for i in range(1, holders)]
     seen, want = set(), {}
     for i, text in rows:
         full = [(k, x) for k, x in enumerate(text.split("\n")) if x.strip()]
@@ -200,8 +206,9 @@ def test_deleted_lines_equal_brute_force(spark):
         mine = {tuple(r) for r in mine if sum(len(x.split()) for _, x in r) >= 8}
         want[i] = sorted({k for r in mine if tuple(x for _, x in r) in seen for k, _ in r})
         seen |= {tuple(x for _, x in r) for r in mine}
-    got = {r.ord: r.gone for r in line_align.deletions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.ord: r.gone for r in line_align.deletions(spark.createDataFrame(rows, "doc_id long, text string"), rare).collect()}
     assert got == {i: gone for i, gone in want.items() if gone} and all(got[100 + i] == list(range(1, 11)) for i in range(1, 12))
+    assert all(got[at + 1] == [1] and got[at + 2] == [1] and got[at + 501] == [2] and got[at + 502] == [1, 2, 3] for at in (1000, 2000, 3000, 4000))
 
 
 def test_base_counts_equal_brute_force(texts):
@@ -324,7 +331,24 @@ def test_classifiers_hold_out(spark):
         out = queries.QUERIES[name](spark, "/root/testdata/sf0.1").join(labels, "doc_id").toPandas()
         assert (out.held_out == [zlib.crc32(str(i).encode()) % parts == at for i in out.doc_id]).all()
         held = out[out.held_out]
-        assert (held.predicted == held[label]).mean() > 0.95
+        hits = ((held.predicted == 1) & (held[label] == 1)).sum()
+        measured = {"accuracy": (held.predicted == held[label]).mean(), "precision": hits / max(1, held.predicted.sum()), "recall": hits / held[label].sum()}
+        print(name, measured, len(held))
+        assert measured["accuracy"] > 0.95 and measured["precision"] > 0.9 and measured["recall"] > 0.8, measured
+
+
+def test_rare_positives_are_all_learnt_from(spark):
+    """The bound is on confirmed examples, not on labels; repeated rows of an id count once."""
+    rng = random.Random(4)
+    text = lambda k, bad: " ".join([rng.choice(WORDS) for _ in range(30)] + ["vile", "slur"] * bad)
+    rows = [(k, text(k, k % 100 == 0)) for k in range(6000)]
+    docs = spark.createDataFrame(rows + [rows[5]] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 100 == 0)) for k in range(6000)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, labels, F.lit(True), bound=60)).toPandas()
+    called = out[out.score >= 0.5]
+    assert set(called.doc_id) == {k for k in range(0, 6000, 100)}
+    texts = learning.labelled_texts(docs, learning.first_labels(learning.all_labels(labels, "toxic", F.lit(True)), 500))
+    assert texts.count() == 500 and learning.sample_texts(docs, F.lit(True), 500).count() < 700
 
 
 def test_languages_hold_out(spark):
