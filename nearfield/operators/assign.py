@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfield.operators.neighbors import distances
+from nearfield.operators.neighbors import exact_distances
 from nearfield.points import matrix
 
 
@@ -17,7 +17,7 @@ def _nearest(model: np.ndarray, labels: np.ndarray, n: int, metric: str, distinc
     for b in batches:
         if not b.num_rows:
             continue
-        d = distances(matrix(b.column("features")), model, metric)
+        d = exact_distances(matrix(b.column("features")), model, metric)
         order = np.argsort(d, axis=1, kind="stable")
         best = np.take_along_axis(d, order, 1)
         if distinct:  # the nth smallest of the distinct distances

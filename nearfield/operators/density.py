@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.operators.components import connected_components, contracted
-from nearfield.operators.neighbors import within_radius, within_radius_grid
+from nearfield.operators.neighbors import neighbour_counts, radius_chunks, radius_join
 from nearfield.plans.scratch import Scratch
+from nearfield.points import matrix
 
 #: So many contracted links, at most, are joined in one task, which saves most rounds.
 ONE_TASK_EDGES = 2_000_000
@@ -24,20 +28,75 @@ class DbscanOptions:
     border: str = "ordered"
 
 
-def core_points(neighbours: DataFrame, min_samples: int) -> DataFrame:
+def core_points(counts: DataFrame, min_samples: int) -> DataFrame:
     """``id`` of the rows with more than ``min_samples`` rows in their open ball, themselves counted."""
-    return neighbours.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > min_samples).select(F.col("q").alias("id"))
+    return counts.where(F.col("n") > min_samples).select("id")
 
 
-def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), grid_width: int | None = None) -> DataFrame:
-    """``id, label``: clusters from 1 in order of their smallest core id, noise 0."""
+def _ball_links(points: DataFrame, radius: float, index: bool | None) -> DataFrame:
+    """``u, v, border`` from points with a ``core`` flag (1 or 0): links that connect the core points of each
+    group of rows, at most one a row, and for each other row the smallest core neighbour of every such part (at
+    most ``min_samples`` of them, or the row would be core)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (t.filter(pc.equal(t.column("core"), 1)) for t in (left, right))
+        ids_a, ids_b = a.column("id").to_numpy(), b.column("id").to_numpy()
+        u, v, border = [], [], []
+        if not len(ids_b):
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "border": pa.array([], pa.int64())})
+        ids, y = np.unique(np.concatenate([ids_a, ids_b])), matrix(b.column("features"))
+        label, at_a, at_b = np.arange(len(ids)), np.searchsorted(ids, ids_a), np.searchsorted(ids, ids_b)
+        if len(ids_a):
+            for i, j, _ in radius_chunks(matrix(a.column("features")), y, radius):
+                tied = np.flatnonzero(label != np.arange(len(ids)))
+                label = smallest_reached(np.r_[tied, at_a[i]], np.r_[label[tied], at_b[j]], len(ids))
+            tied = np.flatnonzero(label != np.arange(len(ids)))
+            u.append(ids[tied])
+            v.append(ids[label[tied]])
+            border.append(np.zeros(len(tied), np.int64))
+        others = left.filter(pc.equal(left.column("core"), 0))
+        if others.num_rows:
+            ids_o = others.column("id").to_numpy()
+            for i, j, _ in radius_chunks(matrix(others.column("features")), y, radius):
+                part, near = label[at_b[j]], ids_b[j]
+                order = np.lexsort((near, part, i))
+                i, part, near = i[order], part[order], near[order]
+                first = np.r_[True, (i[1:] != i[:-1]) | (part[1:] != part[:-1])][: len(i)]
+                u.append(ids_o[i[first]])
+                v.append(near[first])
+                border.append(np.ones(int(first.sum()), np.int64))
+        whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (u, v, border)]
+        return pa.table(dict(zip(("u", "v", "border"), whole, strict=True)))
+
+    return radius_join(points, points, radius, run, "u long, v long, border long", index=index)
+
+
+def smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the smallest place that the links ``a - b`` reach, by hooking and shortcutting."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: bool | None = None) -> DataFrame:
+    """``id, label``: clusters from 1 in order of their smallest core id, noise 0.
+
+    Two radius joins: the first counts neighbours, the second yields at most one link a row and group of rows.
+    The rank of clusters is a window over one row a cluster."""
     scratch = Scratch(points.sparkSession, "dbscan")
-    found = within_radius_grid(points, points, options.radius, grid_width) if grid_width else within_radius(points, points, options.radius)
-    near = scratch.save(found.select("q", "id"), "near")
-    core = scratch.save(core_points(near, options.min_samples), "core")
-    to_core = near.join(core, "id")
-    links = to_core.join(core.select(F.col("id").alias("q")), "q")
-    forest = scratch.save(contracted(links.where("q < id"), "q", "id"), "forest")
+    points = points.select("id", "features")
+    core = scratch.save(core_points(neighbour_counts(points, options.radius, index=index), options.min_samples), "core")
+    marked = points.join(core.withColumn("core", F.lit(1).cast("long")), "id", "left").fillna(0, ["core"])
+    links = scratch.save(_ball_links(scratch.save(marked, "marked"), options.radius, index), "links")
+    forest = scratch.save(contracted(links.where("border = 0"), "u", "v"), "forest")
     if forest.count() <= ONE_TASK_EDGES:  # one task's stars are the components
         comp = contracted(forest.coalesce(1)).toDF("node", "component")
     else:
@@ -45,8 +104,8 @@ def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), grid_wid
     comp = core.join(comp, core["id"] == comp["node"], "left").select("id", F.coalesce("component", "id").alias("entry"))
     entries = comp.select("entry").distinct().withColumn("label", F.row_number().over(Window.orderBy("entry")).cast("long"))
     comp = scratch.save(comp.join(entries, "entry"), "comp")
-    border = to_core.join(core.select(F.col("id").alias("q")), "q", "left_anti").join(comp, "id")
-    if options.border == "ordered":
+    border = links.where("border = 1").select(F.col("u").alias("q"), F.col("v").alias("id")).join(comp, "id")
+    if options.border == "ordered":  # the smallest neighbour of a part is its entry if the entry is a neighbour
         border = border.where((F.col("entry") < F.col("q")) | (F.col("id") == F.col("entry")))
     border = border.groupBy(F.col("q").alias("id")).agg(F.min("label").alias("label"))
     labelled = comp.select("id", "label").union(border)

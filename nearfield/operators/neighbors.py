@@ -1,14 +1,14 @@
-"""Proximity joins by blocks: k nearest, radius, all pairs, closest pairs.
+"""Proximity joins: k nearest, radius, all pairs, closest pairs.
 
-Points are dealt into blocks by a hash of their id; a task gets one pair of blocks as dense arrays, computes
-its distances in chunks, and returns only what the operator keeps (k rows a query, pairs within a radius, the
-best k edges), so no intermediate row stands for a pair. For up to three features a radius join goes by a grid
-of cells instead, which touches neighbouring cells alone.
+Small tables are dealt into blocks by a hash of their ids, and a task gets one pair of blocks as dense arrays,
+computes its distances in chunks, and returns only what the operator keeps (k rows a query, pairs within a radius,
+the best k edges). Large ones go through ``leaves``: points are grouped by a space partition, and a query meets
+only the leaves whose boxes its bound admits. Either way no intermediate row stands for a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +18,83 @@ from pyspark.sql.window import Window
 
 from nearfield.points import matrix
 
-BLOCK, CHUNK = 4096, 1 << 21
+BLOCK, CHUNK, INDEXED_FROM = 4096, 1 << 21, 50_000
+#: Up to this many features distances are summed feature by feature; beyond it by matrix products, with those
+#: recomputed by differences that lie under ``NEAR`` of the norms, where products lose digits.
+EXACT_WIDTH, NEAR = 32, 1e-2
 METRICS = ("euclidean", "sq_euclidean", "manhattan", "cosine")
 
 
+def _by_feature(a: np.ndarray, b: np.ndarray, absolute: bool, out: np.ndarray) -> None:
+    """Sums over features of squared or absolute differences, a block that stays in cache at a time."""
+    cols, step = np.ascontiguousarray(b.T), max(1, (1 << 17) // max(1, len(b)))
+    part = np.empty((min(step, len(a)), len(b)))
+    for k in range(0, len(a), step):
+        x, total = a[k : k + step], out[k : k + step]
+        t = part[: len(x)]
+        total[:] = 0
+        for f in range(a.shape[1]):
+            np.subtract(x[:, f, None], cols[f], out=t)
+            if absolute:
+                np.abs(t, out=t)
+            else:
+                np.multiply(t, t, out=t)
+            total += t
+
+
+def _by_product(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    step = max(1, CHUNK // max(1, len(b)))
+    for k in range(0, len(a), step):
+        x, o = a[k : k + step], out[k : k + step]
+        np.matmul(x, b.T, out=o)
+        o *= -2
+        norms = na[k : k + step, None] + nb
+        o += norms
+        norms *= NEAR
+        i, j = np.nonzero(o <= norms)
+        few = max(1, (1 << 18) // a.shape[1])
+        for m in range(0, len(i), few):
+            diff = x[i[m : m + few]] - b[j[m : m + few]]
+            o[i[m : m + few], j[m : m + few]] = np.einsum("ij,ij->i", diff, diff)
+
+
 def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """All distances of the rows of ``a`` and ``b``; a few rows of ``a`` at a time, so memory stays bounded."""
+    """All distances of the rows of ``a`` and ``b``; a few rows of ``a`` at a time, so that only the result is large."""
     out = np.empty((len(a), len(b)))
-    step = max(1, CHUNK // max(1, b.size))
-    for k in range(0, len(a), step):
-        x = a[k : k + step]
-        if metric == "cosine":
+    if metric == "cosine":
+        step = max(1, CHUNK // max(1, len(b)))
+        for k in range(0, len(a), step):
+            x = a[k : k + step]
             norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[k : k + step] = np.where(norms == 0, np.inf, (x @ b.T) / norms)
-            continue
-        diff = x[:, None, :] - b[None, :, :]
-        if metric == "manhattan":
-            out[k : k + step] = np.abs(diff).sum(2)
-        else:
-            sq = (diff * diff).sum(2)
-            out[k : k + step] = sq if metric == "sq_euclidean" else np.sqrt(sq)
-    return out
+        return out
+    if not out.size:
+        return out
+    if metric == "manhattan" or a.shape[1] <= EXACT_WIDTH:
+        _by_feature(a, b, metric == "manhattan", out)
+    else:
+        _by_product(a, b, out)
+    return np.sqrt(out, out=out) if metric == "euclidean" else out
+
+
+def exact_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """``distances`` summed feature by feature at any width: rows that are equal have equal distances."""
+    if metric == "cosine":
+        return distances(a, b, metric)
+    out = np.empty((len(a), len(b)))
+    _by_feature(a, b, metric == "manhattan", out)
+    return np.sqrt(out, out=out) if metric == "euclidean" else out
+
+
+def paired_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """The distance of each row of ``a`` to the row of ``b`` at the same place, summed in feature order."""
+    total = np.zeros(len(a))
+    for f in range(a.shape[1]):
+        t = a[:, f] - b[:, f]
+        total += np.abs(t) if metric == "manhattan" else t * t
+    return np.sqrt(total) if metric == "euclidean" else total
 
 
 def blocks_for(n: int, block: int = BLOCK) -> int:
@@ -47,19 +102,25 @@ def blocks_for(n: int, block: int = BLOCK) -> int:
     return max(-(-n // block), min(4, -(-n // 256)), 1)
 
 
-def _dealt(df: DataFrame, own: str, blocks: int, triangle: bool) -> DataFrame:
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = df.withColumn(own, b).withColumn("qb" if own == "pb" else "pb", other)
+def _dealt(df: DataFrame, own: str, blocks: tuple[int, int], triangle: bool) -> DataFrame:
+    """Each row once for every block of the other side; ``blocks`` are those of ``qb`` and ``pb``."""
+    mine, theirs = blocks if own == "qb" else blocks[::-1]
+    rows = df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int"))
+    rows = rows.withColumn("qb" if own == "pb" else "pb", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
     return rows.where("qb <= pb") if triangle else rows
 
 
+def schema_of(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+
 def block_join(q: DataFrame, p: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, n: int | None = None, triangle: bool = False) -> DataFrame:
     """``run`` on every pair of a block of ``q`` and one of ``p`` that both have rows; with ``triangle`` (one table on both sides) on
-    each unordered pair of blocks once."""
-    blocks = blocks_for(n if n is not None else p.count())
-    kinds = {"long": pa.int64(), "double": pa.float64()}
-    fields = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+    each unordered pair of blocks once. ``n``: the rows of both sides, where they are known."""
+    n_p = n if n is not None else p.count()
+    blocks = blocks_for(n_p if n is not None or q is p else q.count()), blocks_for(n_p)
+    fields = schema_of(schema)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return run(left, right) if left.num_rows and right.num_rows else fields.empty_table()
@@ -73,24 +134,18 @@ def _ids(t: pa.Table, column: str = "id") -> np.ndarray:
     return t.column(column).to_numpy()
 
 
-def k_nearest(q: DataFrame, p: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, foreign: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """``q, id, dist, rank``: the ``k`` rows of ``p`` nearest to each row of ``q``, ties by id.
-
-    A row is its own nearest neighbour unless ``exclude_self``. With ``foreign``, a column of both, only rows
-    of another group count; ``exclude`` has pairs ``(q, id)`` that don't.
-    """
-    skipping = exclude is not None
-    if skipping:
-        seen = exclude.groupBy(F.col("q").alias("id")).agg(F.collect_set("id").alias("_seen"))
-        q = q.join(seen, "id", "left")
+def nearest_kernel(k: int, metric: str, exclude_self: bool, foreign: str | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``k`` nearest rows of the right table for each row of the left one. Candidates come from ``distances``;
+    those that rounding could order wrongly are compared by distances summed feature by feature."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         qi, pi = _ids(left), _ids(right)
-        order = np.argsort(pi)
+        order = np.argsort(pi, kind="stable")
         pi, x, y = pi[order], matrix(left.column("features")), matrix(right.column("features"))[order]
         lf, rf = (left.column(foreign).to_numpy(zero_copy_only=False), right.column(foreign).to_numpy(zero_copy_only=False)[order]) if foreign else (None, None)
         out_q, out_i, out_d = [], [], []
-        skip = left.column("_seen").to_pylist() if skipping else None
+        skip = left.column("_seen").to_pylist() if "_seen" in left.column_names else None
+        exact = metric == "cosine" or x.shape[1] <= EXACT_WIDTH
         step = max(1, CHUNK // len(pi))
         for s in range(0, len(qi), step):
             d = distances(x[s : s + step], y, metric)
@@ -102,29 +157,88 @@ def k_nearest(q: DataFrame, p: DataFrame, k: int, *, metric: str = "euclidean",
                 for r, ids in enumerate(skip[s : s + step]):
                     if ids:
                         d[r, np.isin(pi, ids)] = np.nan
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]  # nan sorts last, ties keep the id order
-            best = np.take_along_axis(d, near, 1)
-            ok = ~np.isnan(best)
-            out_q.append(np.broadcast_to(qi[s : s + step, None], near.shape)[ok])
-            out_i.append(pi[near][ok])
-            out_d.append(best[ok])
+            at = min(k, len(pi)) - 1
+            worst = np.partition(d, at, axis=1)[:, at]  # nan sorts last
+            worst = np.where(np.isnan(worst), np.inf, worst)
+            i, j = np.nonzero(d <= worst[:, None] * (1 + 1e-9))
+            w = d[i, j] if exact else paired_distances(x[s : s + step][i], y[j], metric)
+            best = np.lexsort((j, w, i))
+            nth = np.arange(len(i)) - np.searchsorted(i[best], i[best])
+            best = best[nth < k]
+            out_q.append(qi[s : s + step][i[best]])
+            out_i.append(pi[j[best]])
+            out_d.append(w[best])
         return pa.table({"q": np.concatenate(out_q), "id": np.concatenate(out_i), "dist": np.concatenate(out_d)})
 
-    found = block_join(q, p, run, "q long, id long, dist double")
+    return run
+
+
+def k_nearest(q: DataFrame, p: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, foreign: str | None = None, exclude: DataFrame | None = None, index: bool | None = None) -> DataFrame:
+    """``q, id, dist, rank``: the ``k`` rows of ``p`` nearest to each row of ``q``, ties by id.
+
+    A row is its own nearest neighbour unless ``exclude_self``. With ``foreign``, a column of both, only rows
+    of another group count; ``exclude`` has pairs ``(q, id)`` that don't. ``index``: by leaves, or by all pairs of
+    blocks; by default leaves for large tables and all metrics but cosine.
+    """
+    if exclude is not None:
+        seen = exclude.groupBy(F.col("q").alias("id")).agg(F.collect_set("id").alias("_seen"))
+        q = q.join(seen, "id", "left")
+    run, n = nearest_kernel(k, metric, exclude_self, foreign), p.count()
+    if n > INDEXED_FROM and metric != "cosine" if index is None else index:
+        from nearfield.operators.leaves import Leaves
+
+        return Leaves(p, n=n).nearest(q, k, run, metric)
+    found = block_join(q, p, run, "q long, id long, dist double", n=n if q is p else None)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def within_radius(q: DataFrame, p: DataFrame, radius: float, *, metric: str = "euclidean") -> DataFrame:
+def radius_chunks(x: np.ndarray, y: np.ndarray, radius: float, metric: str = "euclidean") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distances of the pairs strictly nearer than ``radius``, some rows of ``x`` at a time, so that a
+    dense neighbourhood is never held whole."""
+    step = max(1, CHUNK // max(1, len(y)))
+    for s in range(0, len(x), step):
+        d = distances(x[s : s + step], y, metric)
+        i, j = np.nonzero(d <= radius * (1 + 1e-9))
+        w = d[i, j] if metric == "cosine" or x.shape[1] <= EXACT_WIDTH else paired_distances(x[s : s + step][i], y[j], metric)
+        ok = w < radius
+        yield i[ok] + s, j[ok], w[ok]
+
+
+def radius_join(q: DataFrame, p: DataFrame, radius: float, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, metric: str = "euclidean", index: bool | None = None) -> DataFrame:
+    """``run`` on groups of rows that together hold every pair within ``radius``: of leaves, or of all blocks."""
+    n = p.count()
+    if n > INDEXED_FROM and metric != "cosine" if index is None else index:
+        from nearfield.operators.leaves import Leaves
+
+        return Leaves(p, n=n).within(q, radius, run, schema, metric)
+    return block_join(q, p, run, schema, n=n if q is p else None)
+
+
+def within_radius(q: DataFrame, p: DataFrame, radius: float, *, metric: str = "euclidean", index: bool | None = None) -> DataFrame:
     """``q, id, dist`` of all pairs strictly nearer than ``radius``; a row is near itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        qi, pi = _ids(left), _ids(right)
-        d = distances(matrix(left.column("features")), matrix(right.column("features")), metric)
-        i, j = np.nonzero(d < radius)
-        return pa.table({"q": qi[i], "id": pi[j], "dist": d[i, j]})
+        found = list(radius_chunks(matrix(left.column("features")), matrix(right.column("features")), radius, metric))
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"q": _ids(left)[i], "id": _ids(right)[j], "dist": d})
 
-    return block_join(q, p, run, "q long, id long, dist double")
+    return radius_join(q, p, radius, run, "q long, id long, dist double", metric=metric, index=index)
+
+
+def neighbour_counts(points: DataFrame, radius: float, *, metric: str = "euclidean", index: bool | None = None) -> DataFrame:
+    """``id, n``: how many rows lie strictly nearer than ``radius`` to each, itself counted. Pairs are counted where
+    they are found and never become rows."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = np.zeros(left.num_rows, np.int64)
+        for i, _, _ in radius_chunks(matrix(left.column("features")), matrix(right.column("features")), radius, metric):
+            n += np.bincount(i, minlength=len(n))
+        at = np.flatnonzero(n)
+        return pa.table({"id": _ids(left)[at], "n": n[at]})
+
+    found = radius_join(points, points, radius, run, "id long, n long", metric=metric, index=index)
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def within_radius_grid(q: DataFrame, p: DataFrame, radius: float, d: int) -> DataFrame:
