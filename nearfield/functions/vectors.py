@@ -150,9 +150,18 @@ def unbounded_distance() -> Column:
     return F.lit(0.0)
 
 
+def in_unbounded() -> Column:
+    """Whatever is, is inside."""
+    return F.lit(True)
+
+
 def near(a: Column, b: Column, eps: float = 2.220446049250313e-16) -> Column:
     return F.abs(a - b) <= eps
 
 
+def differs(a: Column, b: Column, eps: float = 2.220446049250313e-16) -> Column:
+    return F.abs(a - b) > eps
+
+
 def safe_divide(a: Column, b: Column, default: float = 0.0, eps: float = 2.220446049250313e-16) -> Column:
     return F.when(F.abs(b) <= eps, F.lit(default)).otherwise(a / b)

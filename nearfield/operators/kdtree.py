@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as v
+from nearfield.operators.stats import lower_medians
 from nearfield.plans.scratch import Scratch
 
-AxisRule = Callable[[int, int, list[int]], dict[str, Column]]
+#: Depth, width and feature mask to an aggregate that names a node's axis; a node's values to an aggregate cut.
+AxisRule = Callable[[int, int, list[int]], Column]
+SplitRule = Callable[[Column], Column]
 
 
 def cycle(depth: int, d: int, mask: list[int]) -> Column:
@@ -31,14 +34,28 @@ def maximum_spread(depth: int, d: int, mask: list[int]) -> Column:
     return _largest(lambda k: F.max(F.col("features")[k]) - F.min(F.col("features")[k]), mask)
 
 
-POLICIES = {"cycle": cycle, "highest_variance": highest_variance, "maximum_spread": maximum_spread}
+def sampled_variance(depth: int, d: int, mask: list[int]) -> Column:
+    """The highest variance of a tenth of the rows; of the spread where that has fewer than three."""
+    some = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(10)) == 0
+    spread = lambda x: F.max(x) - F.min(x)
+    return _largest(lambda k: F.when(F.count_if(some) >= 3, F.var_samp(F.when(some, F.col("features")[k]))).otherwise(spread(F.col("features")[k])), mask)
 
 
-def build(points: DataFrame, d: int, *, bucket_size: int = 40, max_depth: int = 16, axis: str | Callable = "highest_variance", mask: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+def midpoint(v: Column) -> Column:
+    """A cut in the middle of the node's range."""
+    return F.min(v) + (F.max(v) - F.min(v)) / 2
+
+
+POLICIES = {"cycle": cycle, "highest_variance": highest_variance, "maximum_spread": maximum_spread, "sampled_variance": sampled_variance}
+SPLITS = {"midpoint": midpoint}
+
+
+def build(points: DataFrame, d: int, *, bucket_size: int = 40, max_depth: int = 16, axis: str | AxisRule = "highest_variance", split: str | SplitRule = "median", mask: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, nodes)``: ``id, features, node_id, depth`` and ``node_id, depth, axis, cut, n, lo, hi`` with null
     axis and cut for leaves. Node 1 is the root, 2v and 2v+1 the children of v; rows below the left-rounded
     median go left. A node is cut while it has more than ``bucket_size`` rows and depth is left. Two
-    aggregations a level, however many nodes it has; ``axis`` may be a rule of one's own."""
+    aggregations a level, however many nodes it has, and a few more where a node is too large to order; ``axis``
+    and ``split`` may be rules of one's own."""
     rule, mask = POLICIES[axis] if isinstance(axis, str) else axis, mask or list(range(d))
     scratch = Scratch(points.sparkSession, "kdtree")
     rows, nodes, done = points.select("id", "features").withColumn("node_id", F.lit(1).cast("long")), None, None
@@ -48,7 +65,11 @@ def build(points: DataFrame, d: int, *, bucket_size: int = 40, max_depth: int =
         open_ = (F.col("n") > bucket_size) & F.lit(depth < max_depth)
         level = level.withColumn("axis", F.when(open_, F.col("axis")))
         value = F.element_at("features", (F.col("axis") + 1).cast("int"))
-        cuts = rows.join(level.where(F.col("axis").isNotNull()).select("node_id", "axis"), "node_id").select("node_id", value.alias("v")).groupBy("node_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("cut"))
+        on_axis = rows.join(level.where(F.col("axis").isNotNull()).select("node_id", "axis"), "node_id").select("node_id", value.alias("v"))
+        if split == "median":
+            cuts = lower_medians(on_axis, scratch, f"median{depth}")
+        else:
+            cuts = on_axis.groupBy("node_id").agg((SPLITS[split] if isinstance(split, str) else split)(F.col("v")).alias("cut"))
         level = scratch.save(level.join(cuts, "node_id", "left").withColumn("depth", F.lit(depth)), f"level{depth}")
         nodes = level if nodes is None else nodes.union(level)
         at = rows.join(level.select("node_id", "axis", "cut"), "node_id")

@@ -158,6 +158,7 @@ def cluster_sizes(labels: DataFrame, k: int | None = None) -> DataFrame:
     """``cluster, n`` with zeros for empty clusters of 0..k-1 (default: up to the largest label)."""
     spark = labels.sparkSession
     if k is None:
-        k = (labels.agg(F.max("cluster")).first()[0] or -1) + 1
+        top = labels.agg(F.max("cluster")).first()[0]
+        k = 0 if top is None else top + 1
     counts = labels.groupBy("cluster").agg(F.count("*").alias("n"))
     return spark.range(k).withColumnRenamed("id", "cluster").join(counts, "cluster", "left").select("cluster", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

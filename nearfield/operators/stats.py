@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.plans.scratch import Scratch
+
 
 def by_feature(points: DataFrame, d: int, mask: list[int] | None = None, **aggregates) -> DataFrame:
     """``pos`` and one column for each named aggregate function, over the features of ``mask`` (default all).
@@ -64,9 +66,38 @@ def nth(values: DataFrame, n: int, *, largest: bool = False) -> DataFrame:
     return first.orderBy(F.col("value") if largest else F.col("value").desc(), F.col("id").desc()).limit(1).select("id", "value")
 
 
-def median_split(values: DataFrame) -> DataFrame:
+#: Up to so many rows of a group are ordered in one task; larger groups are narrowed by counts in bins first.
+ONE_TASK_ROWS, BINS = 100_000, 256
+
+
+def lower_medians(rows: DataFrame, scratch: Scratch, name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """``node_id, cut``: the left-rounded median of ``v`` in each group of ``rows`` (``node_id, v``); exact.
+
+    While a group's median lies in a range of more than ``one_task_rows`` rows, one aggregation counts the range's
+    rows in ``BINS`` bins and goes on with the median's bin. What is left is ordered."""
+    state = rows.where(F.col("v").isNotNull()).groupBy("node_id").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = state.select("node_id", "lo", "hi", F.expr("(n - 1) div 2").alias("rank"), "n")
+    state, turn = scratch.save(state, f"{name}-0"), 0
+    nth = Window.partitionBy("node_id").orderBy("bin")
+    while not state.where((F.col("n") > one_task_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+        inside = rows.join(state, "node_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).cast("int")
+        bins = inside.withColumn("bin", F.when(F.col("lo") < F.col("hi"), place).otherwise(0)).groupBy("node_id", "rank", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins = bins.withColumn("before", F.sum("n").over(nth) - F.col("n"))
+        hit = bins.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        turn += 1
+        state = scratch.save(hit.select("node_id", "lo", "hi", (F.col("rank") - F.col("before")).alias("rank"), "n"), f"{name}-{turn}")
+    done = state.where("lo = hi").select("node_id", F.col("lo").alias("cut"))
+    rest = rows.join(state.where("lo < hi"), "node_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    at = F.row_number().over(Window.partitionBy("node_id").orderBy("v")) - 1
+    return done.union(rest.withColumn("at", at).where(F.col("at") == F.col("rank")).select("node_id", F.col("v").alias("cut")))
+
+
+def median_split(values: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """``id, side``: left of, at or right of the left-rounded median; all equal values lie on the cut's right."""
-    cut = values.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)")).first()[0]
+    whole = values.select(F.lit(0).cast("long").alias("node_id"), F.col("value").alias("v"))
+    found = lower_medians(whole, Scratch(values.sparkSession, "median"), "median", one_task_rows).first()
+    cut = F.lit(found.cut if found else None)
     return values.select("id", F.when(F.col("value") < cut, "left").otherwise("right").alias("side"))
 
 
@@ -84,13 +115,22 @@ def sum_normalised(values: DataFrame) -> DataFrame:
     return values.select("id", (F.col("value") / F.lit(total)).alias("value"))
 
 
-def transpose(points: DataFrame) -> DataFrame:
+def transpose(points: DataFrame, most_rows: int = 10_000_000) -> DataFrame:
     """``pos, ids, features``: a row per feature with the values of all points in id order. As wide as the
-    table is long, so for tables that fit a row."""
+    table is long: raises above ``most_rows``; ``transpose_blocks`` has no limit."""
+    if (n := points.count()) > most_rows:
+        raise ValueError(f"{n} points are too many for one row: use transpose_blocks")
     long = points.select("id", F.posexplode("features").alias("pos", "v"))
     pairs = F.array_sort(F.collect_list(F.struct("id", "v")))
     return long.groupBy(F.col("pos").cast("long").alias("pos")).agg(pairs.alias("p")).select("pos", F.col("p.id").alias("ids"), F.col("p.v").alias("features"))
 
 
+def transpose_blocks(points: DataFrame, rows_a_block: int = 1 << 16) -> DataFrame:
+    """``pos, block, ids, features``: ``transpose`` in blocks of ids, ``rows_a_block`` wide."""
+    long = points.select("id", F.floor(F.col("id") / rows_a_block).cast("long").alias("block"), F.posexplode("features").alias("pos", "v"))
+    pairs = F.array_sort(F.collect_list(F.struct("id", "v")))
+    return long.groupBy(F.col("pos").cast("long").alias("pos"), "block").agg(pairs.alias("p")).select("pos", "block", F.col("p.id").alias("ids"), F.col("p.v").alias("features"))
+
+
 def rank_values(values: DataFrame, *by: str) -> DataFrame:
     return values.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("value", "id")))

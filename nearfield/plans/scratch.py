@@ -2,7 +2,7 @@
 
 Iterative operators cut their lineage by writing a table under ``spark.checkpoint.dir`` and reading it
 back, so that a lost executor costs a re-read and never the whole history of the loop. The folder is read
-from the session; one is made only where the setting is absent (local runs and tests).
+from the session; a temporary one is made only in local mode, where the setting may be absent.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a temporary folder where the session has none."""
+    """The session's ``spark.checkpoint.dir``, or a temporary folder in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="nearfield-")
