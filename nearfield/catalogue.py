@@ -177,6 +177,35 @@ def levenshtein_texts(spark, sf):
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", v.levenshtein(F.col("s"), F.col("t")).alias("value"))
 
 
+@query(f"""WITH {E}, F AS (SELECT id AS first, x AS y FROM E ORDER BY id LIMIT 10)
+SELECT e.id, f.first, round(list_sum(list_transform(list_zip(e.x, f.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS sq_euclidean, round(list_distance(e.x, f.y), 6) AS euclidean,
+round(list_sum(list_transform(list_zip(e.x, f.y), lambda z: abs(z[1] - z[2]))), 6) AS manhattan, round(list_sum(list_transform(list_zip(e.x, f.y), lambda z: greatest(z[1], z[2]) - least(z[1], z[2]))), 6) AS unsigned_manhattan,
+round(list_cosine_similarity(e.x, f.y), 6) AS cosine, round(list_distance(e.x, f.y), 6) AS auto, list_distance(e.x, f.y) < 1.2 AS inside FROM E e, F f""")
+def distance_columns(spark, sf):
+    e = embeddings(spark, sf)
+    few = sampling.first_rows(e, 10).select(F.col("id").alias("first"), F.col("features").alias("y"))
+    x, y = F.col("features"), F.col("y")
+    made = {"sq_euclidean": v.sq_euclidean(x, y, D), "euclidean": v.euclidean(x, y, D), "manhattan": v.manhattan(x, y, D), "unsigned_manhattan": v.unsigned_manhattan(x, y, D), "cosine": v.cosine_similarity(x, y, D), "auto": v.auto_distance(x, y, "float", D)}
+    return e.crossJoin(F.broadcast(few)).select("id", "first", *[rounded(c).alias(n) for n, c in made.items()], v.in_ball(x, y, F.lit(1.2), D).alias("inside"))  # ten rows on one side
+
+
+@query(f"""WITH {PT} SELECT id, round(sqrt(a * a + b * b), 6) AS auto_norm, (abs(a::BIGINT - 25) + abs(floor(b)::BIGINT - 950))::BIGINT AS auto_integers, abs(a::BIGINT) + abs(floor(b)::BIGINT) AS auto_norm_integers, a + floor(b) AS unsigned_norm,
+round(a - 25, 6) AS moved_a, round(b - 950, 6) AS moved_b, round(b, 6) AS only_b, (a BETWEEN 10 AND 30 AND b BETWEEN 920 AND 960) AS in_box, 0.0::DOUBLE AS unbounded, true AS in_unbounded, (abs(a - 25) <= 0.5) AS near, (abs(a - 25) > 0.5) AS far, round(CASE WHEN a = 25 THEN -1 ELSE b / (a - 25) END, 6) AS quotient,
+round(greatest(0, sqrt((a - 25) ** 2 + (b - 950) ** 2) - 3), 6) AS ball_gap, 20.0::DOUBLE AS box_mid, 10.0::DOUBLE AS box_half, round(sqrt(2000), 6) AS diameter FROM P""")
+def vector_functions(spark, sf):
+    x, at = F.col("features"), F.array(F.lit(25.0), F.lit(950.0))
+    lo, hi = F.array(F.lit(10.0), F.lit(920.0)), F.array(F.lit(30.0), F.lit(960.0))
+    whole = F.transform(x, lambda c: F.floor(c).cast("long"))
+    longs = F.array(F.lit(25).cast("long"), F.lit(950).cast("long"))
+    moved = v.translate(at, x)
+    made = {
+        "auto_norm": rounded(v.auto_norm(x, "double")), "auto_integers": v.auto_distance(whole, longs, "long"), "auto_norm_integers": v.auto_norm(whole, "long"), "unsigned_norm": v.unsigned_manhattan_norm(F.transform(whole, lambda c: c.cast("double"))),
+        "moved_a": rounded(moved[0]), "moved_b": rounded(moved[1]), "only_b": rounded(v.subset(x, [1])[0]), "in_box": v.in_box(x, lo, hi), "unbounded": v.unbounded_distance(), "in_unbounded": v.in_unbounded(), "near": v.near(x[0], at[0], 0.5), "far": v.differs(x[0], at[0], 0.5), "quotient": rounded(v.safe_divide(x[1], x[0] - 25, -1.0)),
+        "ball_gap": rounded(v.ball_ball_distance(x, F.lit(1.0), at, F.lit(2.0))), "box_mid": v.box_centre(lo, hi)[0], "box_half": v.box_half_widths(lo, hi)[0], "diameter": rounded(v.box_diameter(lo, hi)),
+    }
+    return parts(spark, sf).select("id", *[c.alias(n) for n, c in made.items()])
+
+
 @query(f"WITH {PT} SELECT id, round(sqrt(a * a + b * b), 6) AS radius, round(atan2(b, a), 6) AS angle FROM P")
 def polar(spark, sf):
     p = v.polar(F.col("features"))
@@ -247,6 +276,38 @@ def radius_join_grid(spark, sf):
     return neighbors.within_radius_grid(p, p, 0.015, 2).select("q", "id")
 
 
+@query(_knn("TRUE"))
+def knn_index(spark, sf):
+    """``knn`` by the leaf index, whatever the size."""
+    e = embeddings(spark, sf)
+    return neighbors.k_nearest(e, e, 5, index=True).select("q", "id", "rank", rounded("dist").alias("dist"))
+
+
+@query(_knn("a.label <> b.label"))
+def knn_foreign_index(spark, sf):
+    e = embeddings(spark, sf, "label")
+    return neighbors.k_nearest(e, e, 5, foreign="label", index=True).select("q", "id", "rank", rounded("dist").alias("dist"))
+
+
+@query(f"WITH {PS}, Q AS (SELECT l_orderkey * 10 + l_linenumber AS q, (l_quantity / 50.0)::DOUBLE AS a, (l_discount * 10)::DOUBLE AS b FROM lineitem WHERE l_linenumber = 1), N AS (SELECT q, P.id, sqrt((Q.a - P.a) * (Q.a - P.a) + (Q.b - P.b) * (Q.b - P.b)) AS dist FROM Q, P), R AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM N) SELECT q, id, rank::INT AS rank, round(dist, 6) AS dist FROM R WHERE rank <= 2")
+def knn_two_tables_index(spark, sf):
+    """Other points as queries: first order lines against parts."""
+    q = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 1")
+    q = q.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array((F.col("l_quantity") / 50.0).cast("double"), (F.col("l_discount") * 10).cast("double")).alias("features"))
+    return neighbors.k_nearest(q, parts(spark, sf, scale=True), 2, index=True).select("q", "id", "rank", rounded("dist").alias("dist"))
+
+
+@query(f"WITH {PS} SELECT x.id AS q, y.id FROM P x, P y WHERE sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) < 0.015")
+def radius_join_index(spark, sf):
+    p = parts(spark, sf, scale=True)
+    return neighbors.within_radius(p, p, 0.015, index=True).select("q", "id")
+
+
+@query(f"WITH {E} SELECT e.id, count(*) AS n FROM E e, E f WHERE list_distance(e.x, f.x) < 1.2 GROUP BY e.id")
+def neighbour_counts(spark, sf):
+    return neighbors.neighbour_counts(embeddings(spark, sf), 1.2)
+
+
 CLOSE = f"WITH {E}, N AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS dist FROM E a, E b WHERE a.label < 5 AND b.label >= 5)"
 
 
@@ -492,13 +553,21 @@ def dbscan(spark, sf):
 
 @query(f"{DB} SELECT id FROM CORE")
 def dbscan_core(spark, sf):
-    e = embeddings(spark, sf)
-    return density.core_points(neighbors.within_radius(e, e, 1.2), 5)
+    return density.core_points(neighbors.neighbour_counts(embeddings(spark, sf), 1.2), 5)
 
 
-@query()
-def dbscan_grid(spark, sf):
-    return density.dbscan(parts(spark, sf, scale=True), density.DbscanOptions(radius=0.03), grid_width=2)
+DB2 = f"""WITH RECURSIVE {PS}, NB AS MATERIALIZED (SELECT x.id AS q, y.id FROM P x, P y WHERE sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) < 0.03),
+CORE AS MATERIALIZED (SELECT q AS id FROM NB GROUP BY q HAVING count(*) > 5),
+CC AS MATERIALIZED (SELECT n.q, n.id FROM NB n JOIN CORE a ON n.q = a.id JOIN CORE b ON n.id = b.id),
+REACH AS (SELECT id AS s, id FROM CORE UNION SELECT r.s, c.id FROM REACH r JOIN CC c ON c.q = r.id),
+COMP AS MATERIALIZED (SELECT id, min(s) AS entry FROM REACH GROUP BY id),
+RK AS (SELECT entry, row_number() OVER (ORDER BY entry) AS label FROM (SELECT DISTINCT entry FROM COMP)),
+B AS (SELECT n.q AS id, min(k.label) AS label FROM NB n JOIN COMP c ON n.id = c.id JOIN RK k ON k.entry = c.entry WHERE n.q NOT IN (SELECT id FROM CORE) AND (c.entry < n.q OR n.id = c.entry) GROUP BY n.q)"""
+
+
+@query(f"{DB2} SELECT p.id, coalesce(k.label, b.label, 0)::BIGINT AS label FROM P p LEFT JOIN COMP c ON c.id = p.id LEFT JOIN RK k ON k.entry = c.entry LEFT JOIN B b ON b.id = p.id")
+def dbscan_index(spark, sf):
+    return density.dbscan(parts(spark, sf, scale=True), density.DbscanOptions(radius=0.03), index=True)
 
 
 @query(f"WITH {E}, N AS (SELECT a.id, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS r FROM E a, E b) SELECT id, round(dist, 6) AS core FROM N WHERE r = 5")
@@ -506,7 +575,7 @@ def core_distance(spark, sf):
     return hierarchy.core_distances(embeddings(spark, sf), 5).select("id", rounded("core").alias("core"))
 
 
-@query(f"WITH {E}, N AS (SELECT a.id, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS r FROM E a, E b), K AS (SELECT id, dist AS core FROM N WHERE r = 5) SELECT a.id AS i, b.id AS j, round(greatest(list_distance(a.x, b.x), p.core, q.core), 6) AS weight FROM E a JOIN E b ON a.id < b.id JOIN K p ON p.id = a.id JOIN K q ON q.id = b.id")
+@query(f"WITH {E}, N AS MATERIALIZED (SELECT a.id, b.id AS other, list_distance(a.x, b.x) AS dist FROM E a, E b), K AS MATERIALIZED (SELECT id, dist AS core FROM (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS r FROM N) WHERE r = 5) SELECT n.id AS i, n.other AS j, round(greatest(n.dist, a.core, b.core), 6) AS weight FROM N n JOIN K a ON a.id = n.id JOIN K b ON b.id = n.other WHERE n.id < n.other")
 def mutual_reachability(spark, sf):
     e = embeddings(spark, sf)
     found = hierarchy.mutual_reachability(neighbors.pairwise(e), hierarchy.core_distances(e, 5))
@@ -549,10 +618,10 @@ def kdtree_nodes(spark, sf):
     return kdtree.build(parts(spark, sf), 2)[1].select("node_id", "depth", "axis", "cut", "n")
 
 
-@query("SELECT p_partkey AS id, round(sqrt(pow(p_size - 15.0, 2) + pow(p_retailprice::DOUBLE - 1200.0, 2)), 6) AS dist FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1400")
+@query("SELECT p_partkey AS id, round(sqrt(pow(p_size - 15.0, 2) + pow(p_retailprice::DOUBLE - 940.0, 2)), 6) AS dist FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 920 AND 960")
 def kdtree_box_search(spark, sf):
     rows, nodes = kdtree.build(parts(spark, sf), 2)
-    return kdtree.box_search(rows, nodes, [10, 1000], [20, 1400]).select("id", rounded("dist").alias("dist"))
+    return kdtree.box_search(rows, nodes, [10, 920], [20, 960]).select("id", rounded("dist").alias("dist"))
 
 
 # -- streaming ----------------------------------------------------------------------------------------------
