@@ -56,7 +56,7 @@ def read_vocabulary(path: str | None = None) -> list[tuple[str, float, int]]:
 
 
 class PieceCodec:
-    def __init__(self, vocabulary: list[tuple[str, float, int]], cache_limit: int = 1 << 15):
+    def __init__(self, vocabulary: list[tuple[str, float, int]], cache_limit: int = 1 << 18):
         self.score = {p: s for p, s, k in vocabulary if k == NORMAL}
         self.id = {p: i for i, (p, s, k) in enumerate(vocabulary) if k == NORMAL}
         self.byte_id = {int(p[3:5], 16): i for i, (p, s, k) in enumerate(vocabulary) if k == BYTE}
@@ -74,7 +74,7 @@ class PieceCodec:
             if self.merge(p) == [p]:  # else merging never makes it of its own characters
                 self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
-        self._pair, self._known = Generations(2 * cache_limit), Generations(cache_limit)
+        self._pair, self._known = Generations(cache_limit), Generations(cache_limit)
         self.caches = (self._pair, self._known)
 
     def merge(self, text: str) -> list[str]:
