@@ -206,9 +206,10 @@ def _nodes(classes: DataFrame, scratch: Scratch, limits: tuple[int, int], branch
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), *, node_limit: int = 4096, shingle_limit: int = 1 << 21, branch: int = 6, max_depth: int = 5, miss: float = 1e-8) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id, text_hash, n_shingles, component_id, first`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``threshold`` is the least similarity as a fraction; ``component_id`` is the smallest id that links reach.
+    ``first`` marks the row of that id (of several texts the one of the smallest hash; without ids by hash alone).
     """
     num, den = threshold
     t = num / den
@@ -234,18 +235,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     full = sieved.join(sets, "digest").repartition(*keys).sortWithinPartitions(*keys)
     links = scratch.save(full.mapInArrow(partial(_link, need, num, den), "src binary, dst binary"), "links")
     comp = connected_components(links)
-    grouped = classes.join(comp, classes["digest"] == comp["node"], "left").select("digest", "rep", F.coalesce("component", "digest").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = grouped.join(lowest, "component").select("digest", "component_id")
+    grouped = classes.join(comp, classes["digest"] == comp["node"], "left").select("digest", F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_hash").alias("rep"), F.coalesce("component", "digest").alias("component"))
+    lowest = grouped.groupBy("component").agg(F.min("rep").alias("first"))
+    ids = grouped.join(lowest, "component").select("digest", "first")
     out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(ids, "digest", "left")
-    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"))
+    alone = F.col("digest").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.rep"))
+    first = alone | (F.col("doc_id").eqNullSafe(F.col("first.rep")) & (F.col("text_hash") == F.col("first.rep_hash")))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), first.alias("first"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group; repeated rows of one id and text become one,
-    that of the smallest hash over all columns."""
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """``docs`` with the document of the smallest id of each group, and those without a word; repeated rows of one id
+    and text become one, that of the smallest hash over all columns."""
+    found = near_duplicates(docs, **options).where("first")
     kept = found.select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     order = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in plain])

@@ -15,6 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from nearfield.llm import bloom_lookup, fertility, learning, line_align, minhash_paths, mixing, pieces, queries, toxicity, url_rules, zstd_language
 from nearfield.llm.text import WordHash
 from nearfield.plans.scratch import Scratch
@@ -211,6 +212,104 @@ def test_deleted_lines_equal_brute_force(spark, rare):
     assert all(got[at + 1] == [1] and got[at + 2] == [1] and got[at + 501] == [2] and got[at + 502] == [1, 2, 3] for at in (1000, 2000, 3000, 4000))
 
 
+def brute_line_dedup(rows):
+    """Rows ``(doc_id, text, ...)`` with the lines that an earlier document holds in a run of 8 words deleted, less
+    the documents of which no word is left."""
+    order = sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, line_align._text_hash(r[1])))
+    seen, left = set(), {}
+    for i, text in order:
+        lines = [" ".join(x.split()) for x in text.split("\n")]
+        full = [(k, x) for k, x in enumerate(lines) if x]
+        runs = [full[a:b] for a in range(len(full)) for b in range(a + 1, min(len(full), a + 12) + 1)]
+        runs = [r for r in runs if sum(len(x.split()) for _, x in r) >= 8]
+        gone = {k for r in runs if tuple(x for _, x in r) in seen for k, _ in r}
+        seen |= {tuple(x for _, x in r) for r in runs}
+        left[i, text] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    out = [(r[0], left.get(r[:2], r[1]), *r[2:]) for r in rows]
+    return [r for r, old in zip(out, rows, strict=True) if r[1] == old[1] or r[1].split()]
+
+
+def brute_near_dedup(rows):
+    found = sorted({r[:2] for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, 0 if r[1] is None else line_align._text_hash(r[1])))
+    first = jaccard_components({k: shingle_set(t or "", 5) for k, (_, t) in enumerate(found)}, 80, 100)
+    return [(*r, *next(x for x in rows if x[:2] == r)[2:]) for k, r in enumerate(found) if first[k] == k]
+
+
+def brute_mixing(rows):
+    """Copies by the SQL of op1."""
+    duck = duckdb.connect()
+    duck.register("d", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "source": [r[3] for r in rows]}))
+    duck.sql("CREATE TABLE documents AS SELECT * FROM d")
+    taken = {(i, s): (t, n) for i, n, _, _, t, s in duck.sql(f"SELECT q.*, d.text FROM ({queries.ORACLE_SQL['op1_mixing']}) q JOIN d ON q.doc_id IS NOT DISTINCT FROM d.doc_id AND q.size = len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+'))").fetchall()}
+    return [r for r in rows for _ in range(taken[r[0], r[1]][0] // taken[r[0], r[1]][1])]
+
+
+def test_pipeline_equals_brute_force(spark, texts, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, t, "en", rng.choice(["web", "books", None]), len(t)) for i, t in sorted(texts.items()) if len(t) < 6000][:110]
+    rows += [(5000 + k, r[1], r[2], r[3], r[4]) for k, r in enumerate(rows[:10])]  # copies of other ids
+    rows += [(6000 + k, r[1] + f"\nown tail {k} of this copy", "en", "web", 0) for k, r in enumerate(rows[20:40])]
+    rows += [(None, rows[3][1] + " without an id", "en", "web", 0), (7000, None, "en", "web", None), (7001, "", "en", "web", 0), (7002, "12 34 !?", "en", "books", 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = str(tmp_path)
+    langs = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SMALL}/documents.parquet'").fetchall())
+    rows = [(r[0], r[1], langs.get(r[0], r[2]), *r[3:]) for r in rows] + [(r[0], r[1], langs.get(r[0], r[2]), *r[3:]) for r in rows[50:53]]
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    tool = zstd_language.Identifier(zstd_language.learn(docs))
+    kept = [r for r in rows if (lambda x: x[0] != "und" and x[1] >= zstd_language.MARGIN)(tool.identify(r[1]))]
+    left = brute_mixing(brute_near_dedup(brute_line_dedup(kept)))
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = sorted((r[0] is None, r[0] or 0, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids))) for r in left for ids in [lib.encode(r[1])])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == want and 60 < len({r[1] for r in got}) < len(rows) - 10
+
+
+def test_fertility_verdicts_equal_the_libraries(spark, texts):
+    """Measures and verdicts from the two libraries, with plain counting."""
+    import public_tokenizers as public
+    import tiktoken
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    bpe = tiktoken.Encoding("test", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*texts.items(), (9000, "xq#zk$ " * 80), (9001, "слово и дело " * 60), (9002, " ".join(f"λόγος{k}" for k in range(70))), (9003, " ".join(f"{k}日本語" for k in range(80)))]
+    out = {r.doc_id: r for r in fertility.judge_fertility(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        r, ids = out[i], lib.encode(t)
+        if not ids:
+            continue
+        chars = sum(len(x) for x in re.findall(r"[^\x20\x09-\x0D]+", t))
+        n = [ids.count(x) / len(ids) for x in set(ids)]
+        share = sum(lib.is_byte(x) and lib.id_to_piece(x) != "<0x0A>" for x in ids) / len(ids)
+        want = (chars / len(ids), chars / max(1, len(bpe.encode_ordinary(t))), share, -sum(p * math.log2(p) for p in n))
+        assert (r.chars_per_piece, r.chars_per_byte_token, r.byte_share, r.entropy) == pytest.approx(want)
+        a, b, c, d, most, e, f = fertility.BANDS[r.script]
+        assert r.kept == (not r.base_failed and a <= want[0] <= b and c <= want[1] <= d and share <= most and e <= want[3] <= f)
+    assert [out[k].script for k in (9000, 9001, 9002, 9003)] == ["latin", "cyrillic", "greek", "other"] and not out[9000].kept
+
+
+@pytest.mark.parametrize("node_limit", [16])
+def test_recall_where_roots_branch(spark, node_limit):
+    """Links at and above the threshold in one crowd of 600 documents that share most shingles, all nodes branched."""
+    rng = random.Random(7)
+    base, rows = [f"b{k}" for k in range(300)], []
+    for k in range(600):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 12)):
+            w[at] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_paths.near_duplicates(docs, 3, (85, 100), node_limit=node_limit).collect()}
+    want = jaccard_components({i: shingle_set(t, 3) for i, t in rows}, 85, 100)
+    joined = [k for k in want if want[k] != k]
+    found = sum(got[k] != k for k in joined) / len(joined)
+    print("recall of members where roots branch", found, len(joined))
+    assert found >= 0.99 and all(got[k] == k or want[k] == want[got[k]] for k in want)
+
+
 def test_base_counts_equal_brute_force(texts):
     words = WordHash()
     for t in [*texts.values(), "a b c a b c", "x\nx\n\n \n", "a a a a", ""]:
