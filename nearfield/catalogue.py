@@ -507,7 +507,15 @@ def kmedoids_msc(spark, sf):
     return kmedoids.kmedoids(embeddings(spark, sf), 5, method="msc", start=[0, 1, 2, 3, 4], max_iter=5)
 
 
-@query()
+def _build_sql(k: int) -> str:
+    ctes = [E, "G AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS dist FROM E a, E b)", "B0 AS MATERIALIZED (SELECT i AS id FROM G GROUP BY i ORDER BY sum(dist), i LIMIT 1)", "N0 AS MATERIALIZED (SELECT j, dist FROM G WHERE i = (SELECT id FROM B0))"]
+    for c in range(1, k):
+        ctes.append(f"B{c} AS MATERIALIZED (SELECT g.i AS id FROM G g JOIN N{c - 1} n USING (j) GROUP BY g.i ORDER BY sum(greatest(n.dist - g.dist, 0)) DESC, g.i LIMIT 1)")
+        ctes.append(f"N{c} AS MATERIALIZED (SELECT j, least(n.dist, g.dist) AS dist FROM N{c - 1} n JOIN G g USING (j) WHERE g.i = (SELECT id FROM B{c}))")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {c}::BIGINT AS cluster, id FROM B{c}" for c in range(k))
+
+
+@query(_build_sql(5))
 def pam_build(spark, sf):
     return kmedoids.kmedoids(embeddings(spark, sf), 5, method="build")
 
@@ -588,12 +596,24 @@ def single_linkage_cut(spark, sf):
     return hierarchy.single_linkage_labels(e, hierarchy.spanning_tree(e), 1.12, 2)
 
 
-@query()
+def _tree_sql(k: int) -> str:
+    """The minimum spanning tree grown from the first point: each step takes the lightest edge, by weight and ends,
+    that leaves the points reached so far, which are the ones of a bit string."""
+    core = "K AS MATERIALIZED (SELECT id, dist AS core FROM (SELECT i AS id, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS r FROM A) WHERE r = %d)" % k
+    weight, joins = ("greatest(a.dist, p.core, q.core)", "JOIN K p ON p.id = a.i JOIN K q ON q.id = a.j") if k > 1 else ("a.dist", "")
+    ctes = [E, "A AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS dist FROM E a, E b)", *([core] if k > 1 else []), "O AS MATERIALIZED (SELECT id, (row_number() OVER (ORDER BY id) - 1)::INT AS place FROM E)"]
+    ctes.append(f"W AS MATERIALIZED (SELECT w.*, a.place AS pi, b.place AS pj, row_number() OVER (ORDER BY weight, i, j) AS nth FROM (SELECT a.i, a.j, {weight} AS weight FROM A a {joins} WHERE a.i < a.j) w JOIN O a ON a.id = w.i JOIN O b ON b.id = w.j)")
+    step = "SELECT min(w.nth) AS nth, any_value(t.seen) AS seen FROM T t, W w WHERE get_bit(t.seen, w.pi) <> get_bit(t.seen, w.pj)"
+    ctes.append(f"T AS (SELECT 0::BIGINT AS nth, set_bit(repeat('0', (SELECT count(*) FROM E)::INT)::BIT, 0, 1) AS seen UNION ALL SELECT x.nth, set_bit(set_bit(x.seen, w.pi, 1), w.pj, 1) FROM ({step}) x JOIN W w ON w.nth = x.nth)")
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT w.i, w.j, round(w.weight, 6) AS weight FROM T t JOIN W w ON w.nth = t.nth"
+
+
+@query(_tree_sql(1))
 def spanning_tree(spark, sf):
     return hierarchy.spanning_tree(embeddings(spark, sf)).select("i", "j", rounded("weight").alias("weight"))
 
 
-@query()
+@query(_tree_sql(5))
 def spanning_tree_mr(spark, sf):
     return hierarchy.spanning_tree(embeddings(spark, sf), 5).select("i", "j", rounded("weight").alias("weight"))
 
@@ -613,9 +633,20 @@ def hdbscan(spark, sf):
     return hierarchy.hdbscan(embeddings(spark, sf), k=5, min_size=5)
 
 
-@query()
+def _nodes_sql(levels: int, bucket: int) -> str:
+    ctes = [PT, "R0 AS (SELECT id, a, b, 1::BIGINT AS node_id FROM P)"]
+    for k in range(levels + 1):
+        axis = f"CASE WHEN count(*) > {bucket} AND {k} < {levels} THEN CASE WHEN coalesce(var_samp(b), 0) > coalesce(var_samp(a), 0) THEN 1 ELSE 0 END END"
+        ctes.append(f"L{k} AS MATERIALIZED (SELECT node_id, count(*) AS n, {axis} AS axis, quantile_disc(a, 0.5) AS ca, quantile_disc(b, 0.5) AS cb FROM R{k} GROUP BY node_id)")
+        value = "CASE l.axis WHEN 0 THEN r.a ELSE r.b END >= CASE l.axis WHEN 0 THEN l.ca ELSE l.cb END"
+        ctes.append(f"R{k + 1} AS MATERIALIZED (SELECT r.id, r.a, r.b, r.node_id * 2 + ({value})::BIGINT AS node_id FROM R{k} r JOIN L{k} l USING (node_id) WHERE l.axis IS NOT NULL)")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT node_id, {k}::INT AS depth, coalesce(axis, -1)::INT AS axis, CASE axis WHEN 0 THEN ca WHEN 1 THEN cb END AS cut, n FROM L{k}" for k in range(levels + 1))
+
+
+@query(_nodes_sql(16, 40))
 def kdtree_nodes(spark, sf):
-    return kdtree.build(parts(spark, sf), 2)[1].select("node_id", "depth", "axis", "cut", "n")
+    nodes = kdtree.build(parts(spark, sf), 2)[1]
+    return nodes.select("node_id", "depth", F.coalesce("axis", F.lit(-1)).cast("int").alias("axis"), "cut", "n")  # -1: a leaf
 
 
 @query("SELECT p_partkey AS id, round(sqrt(pow(p_size - 15.0, 2) + pow(p_retailprice::DOUBLE - 940.0, 2)), 6) AS dist FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 920 AND 960")
