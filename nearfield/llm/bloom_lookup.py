@@ -145,7 +145,7 @@ def differences(base: DataFrame, scratch: Scratch, partitions: int, max_sizes: i
         stuck = sums.where("stuck >= 0").groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("s"))).alias(f"s{p}") for p in (0, 1)])
         if stuck.isEmpty():
             return done
-        rows = rows.join(stuck, "rid")
+        rows = rows.repartition(2 * partitions, "rid").join(stuck.repartition(2 * partitions, "rid"), "rid")  # before cells are spread
         if k:
             rows = scratch.save(rows, f"again{k}")
         larger = lambda p, b: f"CASE WHEN s{p} IS NOT NULL THEN greatest(s{p} * {GROWTH}, cast(pow(2D, ceil(log2(size(units) + size({b}) + 1D))) AS int)) END"
