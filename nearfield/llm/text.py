@@ -34,7 +34,7 @@ class Generations(dict):
     """A cache that keeps at most twice ``limit`` entries: when the young generation is full it becomes the old
     one, so what is used often stays and memory is bounded on any vocabulary."""
 
-    def __init__(self, limit: int = 1 << 15):
+    def __init__(self, limit: int = 1 << 17):
         super().__init__()
         self.limit, self.old = limit, {}
 
