@@ -159,19 +159,16 @@ def norms(spark, sf):
     return embeddings(spark, sf).select("id", rounded(v.norm(F.col("features"))).alias("l2"), rounded(v.manhattan_norm(F.col("features"))).alias("l1"))
 
 
-ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
+#: DuckDB measures bytes, so each of the table's code points, under 128 of them, is written as one; else no value.
+LEVENSHTEIN = """WITH U AS (SELECT item_id, generate_subscripts(string_split(text, ''), 1) AS pos, unnest(string_split(text, '')) AS c FROM benchmark),
+A AS (SELECT c, row_number() OVER (ORDER BY c) AS nth FROM (SELECT DISTINCT c FROM U)),
+B AS (SELECT item_id, string_agg(chr(nth::INT), '' ORDER BY pos) AS t FROM U JOIN A USING (c) GROUP BY item_id)
+SELECT a.item_id AS i, b.item_id AS j, CASE WHEN (SELECT max(nth) FROM A) < 128 THEN levenshtein(a.t, b.t) END::INT AS value FROM B a JOIN B b ON a.item_id < b.item_id"""
 
 
-@query(f"WITH B AS (SELECT item_id, {ASCII} AS t FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, levenshtein(a.t, b.t)::INT AS value FROM B a JOIN B b ON a.item_id < b.item_id")
+@query(LEVENSHTEIN)
 def levenshtein_items(spark, sf):
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("t"))
-    a, b = b.select(F.col("item_id").alias("i"), F.col("t").alias("s")), b.select(F.col("item_id").alias("j"), "t")
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", v.levenshtein(F.col("s"), F.col("t")).alias("value"))
-
-
-@query()
-def levenshtein_texts(spark, sf):
-    """Whole texts by code points. DuckDB counts bytes, so the query with SQL above leaves non-ASCII ones out."""
+    """Whole texts by code points; a row a pair is what it asks for."""
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
     a, b = b.select(F.col("item_id").alias("i"), F.col("text").alias("s")), b.select(F.col("item_id").alias("j"), F.col("text").alias("t"))
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", v.levenshtein(F.col("s"), F.col("t")).alias("value"))
@@ -538,6 +535,13 @@ def average_silhouette(spark, sf):
     return quality.average_silhouette(labelled(spark, sf)).select(rounded("value").alias("value"))
 
 
+@query(f"{CLOSE} SELECT i, j, round(dist, 6) AS dist FROM N WHERE dist > 0 ORDER BY N.dist, i, j LIMIT 1")
+def closest_pair_index(spark, sf):
+    """``closest_pair`` by the leaf index."""
+    e = embeddings(spark, sf, "label")
+    return neighbors.closest_pairs(e.where("label < 5"), e.where("label >= 5"), index=True).select("i", "j", rounded("dist").alias("dist"))
+
+
 @query()
 def k_sweep(spark, sf):
     return quality.k_sweep(embeddings(spark, sf), range(2, 5), seed=1)
@@ -613,6 +617,12 @@ def spanning_tree(spark, sf):
     return hierarchy.spanning_tree(embeddings(spark, sf)).select("i", "j", rounded("weight").alias("weight"))
 
 
+@query(_tree_sql(1))
+def spanning_tree_index(spark, sf):
+    """``spanning_tree`` by rounds of the leaf index."""
+    return hierarchy.spanning_tree(embeddings(spark, sf), index=True).select("i", "j", rounded("weight").alias("weight"))
+
+
 @query(_tree_sql(5))
 def spanning_tree_mr(spark, sf):
     return hierarchy.spanning_tree(embeddings(spark, sf), 5).select("i", "j", rounded("weight").alias("weight"))

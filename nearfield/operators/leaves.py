@@ -109,10 +109,10 @@ def _with_long(df: DataFrame, name: str) -> StructType:
 class Leaves:
     """The index of ``points`` (``id, features`` and further columns)."""
 
-    def __init__(self, points: DataFrame, *, n: int | None = None, leaf: int = LEAF, sample: int = SAMPLE):
+    def __init__(self, points: DataFrame, *, n: int | None = None, leaf: int | None = None, sample: int = SAMPLE):
         self.scratch = Scratch(points.sparkSession, "leaves")
         n = points.count() if n is None else n
-        self.leaf = max(leaf, -(-n // MOST_LEAVES))
+        self.leaf = max(leaf or LEAF, -(-n // MOST_LEAVES))
         share = min(1.0, sample / max(1, n))
         picked = points.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30))).select("features").limit(4 * sample)
         rows = [r.features for r in picked.collect()]

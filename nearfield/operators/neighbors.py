@@ -134,7 +134,7 @@ def _ids(t: pa.Table, column: str = "id") -> np.ndarray:
     return t.column(column).to_numpy()
 
 
-def nearest_kernel(k: int, metric: str, exclude_self: bool, foreign: str | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def nearest_kernel(k: int, metric: str, exclude_self: bool, foreign: str | None, skip_zero: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The ``k`` nearest rows of the right table for each row of the left one. Candidates come from ``distances``;
     those that rounding could order wrongly are compared by distances summed feature by feature."""
 
@@ -153,6 +153,8 @@ def nearest_kernel(k: int, metric: str, exclude_self: bool, foreign: str | None)
                 d[qi[s : s + step, None] == pi[None, :]] = np.nan
             if foreign:
                 d[lf[s : s + step, None] == rf[None, :]] = np.nan
+            if skip_zero:
+                d[d == 0] = np.nan
             if skip is not None:
                 for r, ids in enumerate(skip[s : s + step]):
                     if ids:
@@ -241,18 +243,22 @@ def neighbour_counts(points: DataFrame, radius: float, *, metric: str = "euclide
     return found.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def within_radius_grid(q: DataFrame, p: DataFrame, radius: float, d: int) -> DataFrame:
-    """``within_radius`` for up to three features: cells of one radius, each query against its neighbour cells."""
+def within_radius_grid(q: DataFrame, p: DataFrame, radius: float, d: int, rows_a_cell: int = BLOCK) -> DataFrame:
+    """``within_radius`` for up to three features: cells of one radius, each query against its neighbour cells. A
+    cell of more than ``rows_a_cell`` rows is split by a hash of the ids, and its queries meet every part."""
     if not 1 <= d <= 3:
         raise ValueError("the grid is for one to three features")
     axis = lambda k: F.floor(F.col("features")[k] / radius).cast("long")
     cells = p.select("id", F.col("features").alias("y"), F.array(*[axis(k) for k in range(d)]).alias("cell"))
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > rows_a_cell).select("cell", F.ceil(F.col("n") / rows_a_cell).alias("parts"))
+    cells = cells.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
     near = q.select(F.col("id").alias("q"), F.col("features").alias("x"), *[axis(k).alias(f"c{k}") for k in range(d)])
     for k in range(d):
         near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + o for o in (-1, 0, 1)])))
-    near = near.select("q", "x", F.array(*[F.col(f"c{k}") for k in range(d)]).alias("cell"))
+    near = near.select("q", "x", F.array(*[F.col(f"c{k}") for k in range(d)]).alias("cell")).join(crowded, "cell", "left")
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     dist = F.sqrt(sum(((F.col("x")[k] - F.col("y")[k]) * (F.col("x")[k] - F.col("y")[k]) for k in range(1, d)), (F.col("x")[0] - F.col("y")[0]) * (F.col("x")[0] - F.col("y")[0])))
-    return near.join(cells, "cell").select("q", "id", dist.alias("dist")).where(F.col("dist") < radius)
+    return near.join(cells, ["cell", "part"]).select("q", "id", dist.alias("dist")).where(F.col("dist") < radius)
 
 
 def within_box(points: DataFrame, lo: list[float], hi: list[float]) -> DataFrame:
@@ -277,9 +283,16 @@ def pairwise(points: DataFrame, *, metric: str = "euclidean") -> DataFrame:
     return block_join(points, points, run, "i long, j long, dist double", triangle=True)
 
 
-def closest_pairs(a: DataFrame, b: DataFrame, k: int = 1, *, metric: str = "euclidean", skip_zero: bool = True) -> DataFrame:
+def closest_pairs(a: DataFrame, b: DataFrame, k: int = 1, *, metric: str = "euclidean", skip_zero: bool = True, index: bool | None = None) -> DataFrame:
     """``i, j, dist, rank``: the ``k`` shortest edges between two sets, ties by ids. Distance 0 is passed over
-    with ``skip_zero``, which leaves duplicates and, for one set on both sides, each row itself out."""
+    with ``skip_zero``, which leaves duplicates and, for one set on both sides, each row itself out. Large sets go
+    by the leaf index: the ``k`` nearest of each row, and of those the shortest."""
+    if (index if index is not None else metric != "cosine" and b.count() > INDEXED_FROM):
+        from nearfield.operators.leaves import Leaves
+
+        near = Leaves(b.select("id", "features")).nearest(a.select("id", "features"), k, nearest_kernel(k, metric, False, None, skip_zero), metric)
+        near = near.select(F.col("q").alias("i"), F.col("id").alias("j"), "dist").orderBy("dist", "i", "j").limit(k)
+        return near.withColumn("rank", F.row_number().over(Window.orderBy("dist", "i", "j")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         qi, pi = _ids(left), _ids(right)

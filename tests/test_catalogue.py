@@ -40,11 +40,11 @@ def edits(a, b):
 
 def test_levenshtein_takes_whole_texts(spark, duck, tmp_path):
     texts = dict(duck.sql("SELECT item_id, text FROM benchmark").fetchall())
-    got = {(r.i, r.j): r.value for r in catalogue.QUERIES["levenshtein_texts"](spark, SMALL).collect()}
+    got = {(r.i, r.j): r.value for r in catalogue.QUERIES["levenshtein_items"](spark, SMALL).collect()}
     assert len(got) == len(texts) * (len(texts) - 1) // 2
     some = [p for p in sorted(got) if not (texts[p[0]].isascii() and texts[p[1]].isascii())][:40]
     assert some and all(got[p] == edits(texts[p[0]], texts[p[1]]) for p in some)
     odd = ["日本", "日", "déjà 🙂", "deja", "", None]
     spark.createDataFrame(list(enumerate(odd)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r.i, r.j): r.value for r in catalogue.QUERIES["levenshtein_texts"](spark, str(tmp_path)).collect()}
+    got = {(r.i, r.j): r.value for r in catalogue.QUERIES["levenshtein_items"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): None if odd[j] is None else edits(odd[i], odd[j]) for i in range(6) for j in range(i + 1, 6)}

@@ -69,7 +69,8 @@ def test_components_of_a_long_path_and_a_hub(spark):
 def test_grid_equals_blocks(spark, cloud):
     x, p = cloud
     a, b = (sorted(map(tuple, d.select("q", "id").collect())) for d in (neighbors.within_radius_grid(p, p, 0.4, 2), neighbors.within_radius(p, p, 0.4)))
-    assert a == b == sorted(zip(*map(list, np.nonzero(dist(x) < 0.4)), strict=True))
+    split = sorted(map(tuple, neighbors.within_radius_grid(p, p, 0.4, 2, rows_a_cell=3).select("q", "id").collect()))
+    assert a == b == split == sorted(zip(*map(list, np.nonzero(dist(x) < 0.4)), strict=True))
 
 
 def test_closest_pair_passes_over_duplicates(spark, cloud):
@@ -138,6 +139,10 @@ def test_spanning_tree_is_minimal(spark, cloud, monkeypatch, k, one_task):
     w = np.maximum(d, np.maximum(core[:, None], core[None])) if k > 1 else d
     rows = hierarchy.spanning_tree(p, k).collect()
     assert (sum(r.weight for r in rows), len(rows)) == (pytest.approx(kruskal(w)[0]), 59)
+    if one_task:
+        monkeypatch.setattr(leaves, "LEAF", 8)
+        found = hierarchy.spanning_tree(p, k, index=True).collect()
+        assert sorted((r.i, r.j, round(r.weight, 9)) for r in found) == sorted((r.i, r.j, round(r.weight, 9)) for r in rows)
 
 
 def test_hierarchies(spark, cloud):
