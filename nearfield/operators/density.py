@@ -104,6 +104,7 @@ def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: b
     comp = core.join(comp, core["id"] == comp["node"], "left").select("id", F.coalesce("component", "id").alias("entry"))
     entries = comp.select("entry").distinct().withColumn("label", F.row_number().over(Window.orderBy("entry")).cast("long"))
     comp = scratch.save(comp.join(entries, "entry"), "comp")
+    scratch.keep("comp", "links")
     border = links.where("border = 1").select(F.col("u").alias("q"), F.col("v").alias("id")).join(comp, "id")
     if options.border == "ordered":  # the smallest neighbour of a part is its entry if the entry is a neighbour
         border = border.where((F.col("entry") < F.col("q")) | (F.col("id") == F.col("entry")))

@@ -33,12 +33,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/nearfield-{label}-{uuid.uuid4().hex[:12]}"
+        self.saved: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.saved.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Delete all saved tables but the named ones, which results still read."""
+        spent = [n for n in dict.fromkeys(self.saved) if n not in names]
+        if spent:
+            self.drop(*spent)
+        self.saved = [n for n in self.saved if n in names]
+
     def drop(self, *names: str) -> None:
         """Delete the named tables, or the whole folder when no name is given."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
