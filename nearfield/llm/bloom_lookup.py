@@ -182,6 +182,7 @@ def version_likeness(docs: DataFrame) -> DataFrame:
     rows = lead_text(docs, scratch).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.select("rid", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "units", paragraphs(F.col("edited")).alias("edited_units"), "next_units")
     base = scratch.save(rows, "base")
+    scratch.keep("base")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // ROWS_A_TASK))
     found = differences(base, scratch, partitions)
     found = found.groupBy("rid").agg(*[F.max(F.when(F.col("pair") == k, F.col("differing"))).alias(f"d{k}") for k in (0, 1)])

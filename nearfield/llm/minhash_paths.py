@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     sets = texts.join(wanted, is_rep, "left_semi").select("text").mapInArrow(partial(_sets, width), "digest binary, members binary").dropDuplicates(["digest"])
     full = sieved.join(sets, "digest").repartition(*keys).sortWithinPartitions(*keys)
     links = scratch.save(full.mapInArrow(partial(_link, need, num, den), "src binary, dst binary"), "links")
+    scratch.keep("signed", "classes", "links")
     comp = connected_components(links)
     grouped = classes.join(comp, classes["digest"] == comp["node"], "left").select("digest", F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_hash").alias("rep"), F.coalesce("component", "digest").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("rep").alias("first"))

@@ -124,6 +124,7 @@ class Mix:
         table = table.withColumn("last_k", F.coalesce(end, F.col("last_k")).cast("long")).withColumn("fix_k", (F.col("fix_inside") + F.signum("gap")).cast("long"))
         self.table = scratch.save(table.withColumn("parts", F.coalesce(some("last_k", "last_n"), F.lit(False)) | F.coalesce(some("fix_k", "fix_n"), F.lit(False))), "final")
         self.parts = not self.table.where("parts").isEmpty()
+        scratch.keep("slim", "final")
 
     def _ranked(self, rows: DataFrame, table: DataFrame) -> DataFrame:
         return _ranked(_with_source(rows, table, self.n_sources), self.cap, self.bins)
