@@ -6,8 +6,8 @@ piece before it, that is if re-merging the two together gives back the same two;
 tried, and where none fits the last piece is given up. A bit for every position that has failed keeps any
 position from being tried twice, so the work stays linear in the length.
 
-No piece has a space after another character, so a text is cut before each run of spaces and at characters
-outside the vocabulary; the cuts' encodings are kept in bounded caches. Characters outside the vocabulary
+No piece has a space after another character, so a text is cut before each run of spaces and at
+characters outside the vocabulary; the cuts' encodings are kept in bounded caches. Characters outside the vocabulary
 become byte pieces.
 
 Edges: a null or empty text has no ids and decodes to the empty text; any length is encoded whole; repeated
@@ -21,6 +21,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -68,6 +69,7 @@ class PieceCodec:
         self.alphabet = {c for p in self.id for c in p}
         #: Neighbours inside some piece; between any other two characters no merge can ever reach across.
         self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.controls = {i for i, (_, _, k) in enumerate(vocabulary) if k == CONTROL}
         self.piece = [p for p, _, _ in vocabulary]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
@@ -76,6 +78,7 @@ class PieceCodec:
         self.automaton.make_automaton()
         self._pair, self._known = Generations(cache_limit), Generations(cache_limit)
         self.caches = (self._pair, self._known)
+        self._histories: dict[int, list] = {}  # of one entry a piece at most
 
     def merge(self, text: str) -> list[str]:
         """Merging proper, for short strings: the best-scored adjacent pair first, the leftmost of equals."""
@@ -91,17 +94,54 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _history(self, i: int) -> list[tuple[float, str | None, str | None]]:
+        """The merges that make piece ``i`` of its characters: score, and the first and last part where they change."""
+        found = self._histories.get(i)
+        if found is None:
+            found, parts = [], list(self.piece[i])
+            while len(parts) > 1:
+                scores = [self.score.get(x) for x in map(add, parts, parts[1:])]
+                best = max(x for x in scores if x is not None)
+                at = scores.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                found.append((best, parts[0] if at == 0 else None, parts[-1] if at == len(parts) - 1 else None))
+            self._histories[i] = found
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
+        """Whether merging two pieces' characters together gives them back: both are merged again step by step, best
+        score first, and no pair across their border may come first at any time."""
         key = left << 16 | right
         ok = self._pair.get(key)
         if ok is None:
             ok = self._pair.recall(key)
         if ok is None:
-            a, b = self.piece[left], self.piece[right]
-            ok = a[-1] + b[0] not in self.inside or self.merge(a + b) == [a, b]
+            ok = self._remerge(left, right)
             self._pair.keep(key, ok)
         return ok
 
+    def _remerge(self, left: int, right: int) -> bool:
+        x, y, score = self.piece[left][-1], self.piece[right][0], self.score
+        if x + y not in self.inside:
+            return True
+        a, b, cross = iter(self._history(left)), iter(self._history(right)), score.get(x + y)
+        in_a, in_b = next(a, None), next(b, None)
+        while True:
+            if cross is not None and (in_a is None or cross > in_a[0]) and (in_b is None or cross >= in_b[0]):
+                return False
+            if in_a is not None and (in_b is None or in_a[0] >= in_b[0]):
+                changed, in_a = in_a[2], next(a, None)
+                if changed:
+                    x = changed
+                    cross = score.get(x + y)
+            elif in_b is not None:
+                changed, in_b = in_b[1], next(b, None)
+                if changed:
+                    y = changed
+                    cross = score.get(x + y)
+            else:
+                return True
+
     def backtrack(self, text: str) -> list[int]:
         """The ids of a string over the vocabulary's alphabet."""
         n, piece, pair = len(text), self.piece, self._pair
@@ -134,33 +174,43 @@ class PieceCodec:
             pos = end
         return out
 
-    def _run(self, run: str) -> bytes:
-        ids = self._known.get(run)
-        if ids is None:
-            ids = self._known.recall(run)
-        if ids is None:
-            if run in self.id and len(run) == 1:
-                found = [self.id[run]]
-            elif run[0] in self.alphabet:
-                found = self.backtrack(run)
-            else:
-                found = [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")]
-            ids = array("H", found).tobytes()
-            if len(run) <= 64:  # longer ones seldom return
-                self._known.keep(run, ids)
+    def longest(self, text: str) -> list[int]:
+        """The ids of a string over the vocabulary's alphabet: its longest matches from left to right, if each fits
+        the one before it; else found by backtracking."""
+        ids = [i for _, (_, i) in self.automaton.iter_long(text)]
+        pair = self._pair
+        for key in [a << 16 | b for a, b in zip(ids, ids[1:], strict=False)]:
+            ok = pair.get(key)
+            if ok is None:
+                ok = self.compatible(key >> 16, key & 0xFFFF)
+            if not ok:
+                return self.backtrack(text)
         return ids
 
+    def _new(self, run: str) -> bytes:
+        if run[0] in self.alphabet:
+            ids = array("H", self.longest(run)).tobytes()
+        else:
+            ids = array("H", [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")]).tobytes()
+        if len(run) <= 64:  # longer ones seldom return
+            self._known.keep(run, ids)
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        known = self._known
+        return known.get(run) or known.recall(run) or self._new(run)
+
     def cut(self, part: str) -> bytes:
-        """The ids of a part, run by run between cuts that no merge crosses."""
+        """The ids of a part that the young cache hasn't, run by run between cuts that no merge crosses."""
         ids = self._known.recall(part)
         if ids is not None:
             return ids
-        inside = self.inside
-        cuts = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in inside), len(part)]
-        if len(cuts) == 2:
-            return self._run(part)
+        joined = list(map(self.inside.__contains__, map(add, part, part[1:])))
+        if all(joined):
+            return self._new(part)
+        cuts = [0, *(k for k, j in enumerate(joined, 1) if not j), len(part)]
         ids = b"".join(self._run(part[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
-        if len(part) <= 8:
+        if len(part) <= 16:
             self._known.keep(part, ids)
         return ids
 
@@ -192,7 +242,7 @@ class PieceCodec:
         first = next((k for k, i in enumerate(ids) if self.kind[i] != CONTROL), None)
         if first is not None and self.kind[ids[first]] == NORMAL and surface[first][:1] == b" ":
             surface[first] = surface[first][1:]
-        if CONTROL not in map(self.kind.__getitem__, ids):
+        if self.controls.isdisjoint(ids):
             try:
                 return b"".join(surface).decode()
             except UnicodeDecodeError:
