@@ -277,13 +277,13 @@ def radius_join_grid(spark, sf):
 def knn_index(spark, sf):
     """``knn`` by the leaf index, whatever the size."""
     e = embeddings(spark, sf)
-    return neighbors.k_nearest(e, e, 5, index=True).select("q", "id", "rank", rounded("dist").alias("dist"))
+    return neighbors.k_nearest(e, e, 5, index=128).select("q", "id", "rank", rounded("dist").alias("dist"))
 
 
 @query(_knn("a.label <> b.label"))
 def knn_foreign_index(spark, sf):
     e = embeddings(spark, sf, "label")
-    return neighbors.k_nearest(e, e, 5, foreign="label", index=True).select("q", "id", "rank", rounded("dist").alias("dist"))
+    return neighbors.k_nearest(e, e, 5, foreign="label", index=128).select("q", "id", "rank", rounded("dist").alias("dist"))
 
 
 @query(f"WITH {PS}, Q AS (SELECT l_orderkey * 10 + l_linenumber AS q, (l_quantity / 50.0)::DOUBLE AS a, (l_discount * 10)::DOUBLE AS b FROM lineitem WHERE l_linenumber = 1), N AS (SELECT q, P.id, sqrt((Q.a - P.a) * (Q.a - P.a) + (Q.b - P.b) * (Q.b - P.b)) AS dist FROM Q, P), R AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM N) SELECT q, id, rank::INT AS rank, round(dist, 6) AS dist FROM R WHERE rank <= 2")
@@ -291,13 +291,13 @@ def knn_two_tables_index(spark, sf):
     """Other points as queries: first order lines against parts."""
     q = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 1")
     q = q.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array((F.col("l_quantity") / 50.0).cast("double"), (F.col("l_discount") * 10).cast("double")).alias("features"))
-    return neighbors.k_nearest(q, parts(spark, sf, scale=True), 2, index=True).select("q", "id", "rank", rounded("dist").alias("dist"))
+    return neighbors.k_nearest(q, parts(spark, sf, scale=True), 2, index=256).select("q", "id", "rank", rounded("dist").alias("dist"))
 
 
 @query(f"WITH {PS} SELECT x.id AS q, y.id FROM P x, P y WHERE sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) < 0.015")
 def radius_join_index(spark, sf):
     p = parts(spark, sf, scale=True)
-    return neighbors.within_radius(p, p, 0.015, index=True).select("q", "id")
+    return neighbors.within_radius(p, p, 0.015, index=256).select("q", "id")
 
 
 @query(f"WITH {E} SELECT e.id, count(*) AS n FROM E e, E f WHERE list_distance(e.x, f.x) < 1.2 GROUP BY e.id")
@@ -539,7 +539,7 @@ def average_silhouette(spark, sf):
 def closest_pair_index(spark, sf):
     """``closest_pair`` by the leaf index."""
     e = embeddings(spark, sf, "label")
-    return neighbors.closest_pairs(e.where("label < 5"), e.where("label >= 5"), index=True).select("i", "j", rounded("dist").alias("dist"))
+    return neighbors.closest_pairs(e.where("label < 5"), e.where("label >= 5"), index=64).select("i", "j", rounded("dist").alias("dist"))
 
 
 @query()
@@ -579,7 +579,7 @@ B AS (SELECT n.q AS id, min(k.label) AS label FROM NB n JOIN COMP c ON n.id = c.
 
 @query(f"{DB2} SELECT p.id, coalesce(k.label, b.label, 0)::BIGINT AS label FROM P p LEFT JOIN COMP c ON c.id = p.id LEFT JOIN RK k ON k.entry = c.entry LEFT JOIN B b ON b.id = p.id")
 def dbscan_index(spark, sf):
-    return density.dbscan(parts(spark, sf, scale=True), density.DbscanOptions(radius=0.03), index=True)
+    return density.dbscan(parts(spark, sf, scale=True), density.DbscanOptions(radius=0.03), index=256)
 
 
 @query(f"WITH {E}, N AS (SELECT a.id, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS r FROM E a, E b) SELECT id, round(dist, 6) AS core FROM N WHERE r = 5")
@@ -620,7 +620,7 @@ def spanning_tree(spark, sf):
 @query(_tree_sql(1))
 def spanning_tree_index(spark, sf):
     """``spanning_tree`` by rounds of the leaf index."""
-    return hierarchy.spanning_tree(embeddings(spark, sf), index=True).select("i", "j", rounded("weight").alias("weight"))
+    return hierarchy.spanning_tree(embeddings(spark, sf), index=128).select("i", "j", rounded("weight").alias("weight"))
 
 
 @query(_tree_sql(5))

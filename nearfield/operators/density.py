@@ -33,7 +33,7 @@ def core_points(counts: DataFrame, min_samples: int) -> DataFrame:
     return counts.where(F.col("n") > min_samples).select("id")
 
 
-def _ball_links(points: DataFrame, radius: float, index: bool | None) -> DataFrame:
+def _ball_links(points: DataFrame, radius: float, index: bool | int | None) -> DataFrame:
     """``u, v, border`` from points with a ``core`` flag (1 or 0): links that connect the core points of each
     group of rows, at most one a row, and for each other row the smallest core neighbour of every such part (at
     most ``min_samples`` of them, or the row would be core)."""
@@ -86,7 +86,7 @@ def smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: bool | None = None) -> DataFrame:
+def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: bool | int | None = None) -> DataFrame:
     """``id, label``: clusters from 1 in order of their smallest core id, noise 0.
 
     Two radius joins: the first counts neighbours, the second yields at most one link a row and group of rows.

@@ -134,6 +134,11 @@ def _ids(t: pa.Table, column: str = "id") -> np.ndarray:
     return t.column(column).to_numpy()
 
 
+def leaf_size(index: bool | int | None) -> int | None:
+    """The rows a leaf that an ``index`` option asks for, if it is a number of more than 1."""
+    return int(index) if index is not None and index > 1 else None
+
+
 def nearest_kernel(k: int, metric: str, exclude_self: bool, foreign: str | None, skip_zero: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The ``k`` nearest rows of the right table for each row of the left one. Candidates come from ``distances``;
     those that rounding could order wrongly are compared by distances summed feature by feature."""
@@ -175,12 +180,12 @@ def nearest_kernel(k: int, metric: str, exclude_self: bool, foreign: str | None,
     return run
 
 
-def k_nearest(q: DataFrame, p: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, foreign: str | None = None, exclude: DataFrame | None = None, index: bool | None = None) -> DataFrame:
+def k_nearest(q: DataFrame, p: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, foreign: str | None = None, exclude: DataFrame | None = None, index: bool | int | None = None) -> DataFrame:
     """``q, id, dist, rank``: the ``k`` rows of ``p`` nearest to each row of ``q``, ties by id.
 
     A row is its own nearest neighbour unless ``exclude_self``. With ``foreign``, a column of both, only rows
-    of another group count; ``exclude`` has pairs ``(q, id)`` that don't. ``index``: by leaves, or by all pairs of
-    blocks; by default leaves for large tables and all metrics but cosine.
+    of another group count; ``exclude`` has pairs ``(q, id)`` that don't. ``index``: by leaves (a number: of so many
+    rows), or by all pairs of blocks; by default leaves for large tables and all metrics but cosine.
     """
     if exclude is not None:
         seen = exclude.groupBy(F.col("q").alias("id")).agg(F.collect_set("id").alias("_seen"))
@@ -189,7 +194,7 @@ def k_nearest(q: DataFrame, p: DataFrame, k: int, *, metric: str = "euclidean",
     if n > INDEXED_FROM and metric != "cosine" if index is None else index:
         from nearfield.operators.leaves import Leaves
 
-        return Leaves(p, n=n).nearest(q, k, run, metric)
+        return Leaves(p, n=n, leaf=leaf_size(index)).nearest(q, k, run, metric)
     found = block_join(q, p, run, "q long, id long, dist double", n=n if q is p else None)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -207,17 +212,17 @@ def radius_chunks(x: np.ndarray, y: np.ndarray, radius: float, metric: str = "eu
         yield i[ok] + s, j[ok], w[ok]
 
 
-def radius_join(q: DataFrame, p: DataFrame, radius: float, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, metric: str = "euclidean", index: bool | None = None) -> DataFrame:
+def radius_join(q: DataFrame, p: DataFrame, radius: float, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, metric: str = "euclidean", index: bool | int | None = None) -> DataFrame:
     """``run`` on groups of rows that together hold every pair within ``radius``: of leaves, or of all blocks."""
     n = p.count()
     if n > INDEXED_FROM and metric != "cosine" if index is None else index:
         from nearfield.operators.leaves import Leaves
 
-        return Leaves(p, n=n).within(q, radius, run, schema, metric)
+        return Leaves(p, n=n, leaf=leaf_size(index)).within(q, radius, run, schema, metric)
     return block_join(q, p, run, schema, n=n if q is p else None)
 
 
-def within_radius(q: DataFrame, p: DataFrame, radius: float, *, metric: str = "euclidean", index: bool | None = None) -> DataFrame:
+def within_radius(q: DataFrame, p: DataFrame, radius: float, *, metric: str = "euclidean", index: bool | int | None = None) -> DataFrame:
     """``q, id, dist`` of all pairs strictly nearer than ``radius``; a row is near itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -228,7 +233,7 @@ def within_radius(q: DataFrame, p: DataFrame, radius: float, *, metric: str = "e
     return radius_join(q, p, radius, run, "q long, id long, dist double", metric=metric, index=index)
 
 
-def neighbour_counts(points: DataFrame, radius: float, *, metric: str = "euclidean", index: bool | None = None) -> DataFrame:
+def neighbour_counts(points: DataFrame, radius: float, *, metric: str = "euclidean", index: bool | int | None = None) -> DataFrame:
     """``id, n``: how many rows lie strictly nearer than ``radius`` to each, itself counted. Pairs are counted where
     they are found and never become rows."""
 
@@ -283,14 +288,14 @@ def pairwise(points: DataFrame, *, metric: str = "euclidean") -> DataFrame:
     return block_join(points, points, run, "i long, j long, dist double", triangle=True)
 
 
-def closest_pairs(a: DataFrame, b: DataFrame, k: int = 1, *, metric: str = "euclidean", skip_zero: bool = True, index: bool | None = None) -> DataFrame:
+def closest_pairs(a: DataFrame, b: DataFrame, k: int = 1, *, metric: str = "euclidean", skip_zero: bool = True, index: bool | int | None = None) -> DataFrame:
     """``i, j, dist, rank``: the ``k`` shortest edges between two sets, ties by ids. Distance 0 is passed over
     with ``skip_zero``, which leaves duplicates and, for one set on both sides, each row itself out. Large sets go
     by the leaf index: the ``k`` nearest of each row, and of those the shortest."""
     if (index if index is not None else metric != "cosine" and b.count() > INDEXED_FROM):
         from nearfield.operators.leaves import Leaves
 
-        near = Leaves(b.select("id", "features")).nearest(a.select("id", "features"), k, nearest_kernel(k, metric, False, None, skip_zero), metric)
+        near = Leaves(b.select("id", "features"), leaf=leaf_size(index)).nearest(a.select("id", "features"), k, nearest_kernel(k, metric, False, None, skip_zero), metric)
         near = near.select(F.col("q").alias("i"), F.col("id").alias("j"), "dist").orderBy("dist", "i", "j").limit(k)
         return near.withColumn("rank", F.row_number().over(Window.orderBy("dist", "i", "j")))
 
