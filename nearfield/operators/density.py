@@ -93,9 +93,11 @@ def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: b
     The rank of clusters is a window over one row a cluster."""
     scratch = Scratch(points.sparkSession, "dbscan")
     points = points.select("id", "features")
-    core = scratch.save(core_points(neighbour_counts(points, options.radius, index=index), options.min_samples), "core")
-    marked = points.join(core.withColumn("core", F.lit(1).cast("long")), "id", "left").fillna(0, ["core"])
-    links = scratch.save(_ball_links(scratch.save(marked, "marked"), options.radius, index), "links")
+    counts = neighbour_counts(points, options.radius, index=index)
+    flag = counts.select("id", (F.col("n") > options.min_samples).cast("long").alias("core"))
+    marked = scratch.save(points.join(flag, "id", "left").fillna(0, ["core"]), "marked")
+    core = marked.where("core = 1").select("id")
+    links = scratch.save(_ball_links(marked, options.radius, index), "links")
     forest = scratch.save(contracted(links.where("border = 0"), "u", "v"), "forest")
     if forest.count() <= ONE_TASK_EDGES:  # one task's stars are the components
         comp = contracted(forest.coalesce(1)).toDF("node", "component")
