@@ -77,7 +77,6 @@ class PieceCodec:
                 self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
         self._pair, self._known = Generations(cache_limit), Generations(cache_limit)
-        self.caches = (self._pair, self._known)
         self._histories: dict[int, list] = {}  # of one entry a piece at most
 
     def merge(self, text: str) -> list[str]:
@@ -276,7 +275,7 @@ _codecs: dict[int, PieceCodec] = {}
 
 
 def shared_codec(vocabulary: list[tuple[str, float, int]]) -> PieceCodec:
-    """One codec for all tasks of a Python worker; a task empties its caches when it ends."""
+    """One codec for all tasks of a Python worker, with its caches, which are bounded."""
     key = hash(tuple(vocabulary))
     if key not in _codecs:
         _codecs.clear()
@@ -286,7 +285,7 @@ def shared_codec(vocabulary: list[tuple[str, float, int]]) -> PieceCodec:
 
 def _encode(vocabulary: list, keep_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = shared_codec(vocabulary)
-    for b in slices(batches, codec.caches):
+    for b in slices(batches):
         cols: list[list] = [[], [], [], [], []]
         for text in b.column(b.num_columns - 1).to_pylist():
             packed = np.frombuffer(codec.encode_packed(text), "<u2")
