@@ -40,14 +40,13 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def read_vocabulary(path: str | None = None) -> list[tuple[str, float, int]]:
+def parse_vocabulary(model: bytes) -> list[tuple[str, float, int]]:
     """``(piece, score, kind)`` by id. Raises for a model that isn't merge-type with byte fallback, identity
     normalisation, an added leading space and at most 65,536 pieces."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
-    with open(path or default_model(), "rb") as f:
-        m.ParseFromString(f.read())
+    m.ParseFromString(model)
     norm, train = m.normalizer_spec, m.trainer_spec
     plain = train.model_type == pb.TrainerSpec.BPE and train.byte_fallback and not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and not train.treat_whitespace_as_suffix
     kinds = {p.type for p in m.pieces}
@@ -56,6 +55,11 @@ def read_vocabulary(path: str | None = None) -> list[tuple[str, float, int]]:
     return [(p.piece, p.score, p.type) for p in m.pieces]
 
 
+def read_vocabulary(path: str | None = None) -> list[tuple[str, float, int]]:
+    with open(path or default_model(), "rb") as f:
+        return parse_vocabulary(f.read())
+
+
 class PieceCodec:
     def __init__(self, vocabulary: list[tuple[str, float, int]], cache_limit: int = 1 << 18):
         self.score = {p: s for p, s, k in vocabulary if k == NORMAL}

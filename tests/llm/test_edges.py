@@ -1,12 +1,14 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearfield.llm import bloom_lookup, fertility, line_align, minhash_paths, mixing, pieces, quality, toxicity, url_rules, zstd_language
+from nearfield.llm.text import WordHash
 
 #: Names that the operators use inside, or did.
 CLASH = """at bin bins blk cell cells chk cnt copies cut digest edited end fix g gone groups h hash heads held id ids inside is_url keep_hash keep_id key
@@ -121,3 +123,30 @@ def test_edited_text_and_order(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert out[3].edited_sha256 == sha("abcd ") and out[2].edited_sha256 == sha("")
     assert out[1].edited_sha256 == sha("zq") and out[None].edited_sha256 == sha("q")
+
+
+def test_fertility_by_chunks_equals_the_libraries():
+    """Whole texts through both libraries; words that are known are not read again, and texts that no cut fits go whole."""
+    import public_tokenizers as public
+
+    with open(pieces.default_model(), "rb") as f, open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as g:
+        tool = fertility.Fertility(f.read(), g.read(), public.PATTERN, cache_limit=64)
+    rng, odd = random.Random(4), 0
+    parts = [*"abcdef   \n\n\t▁éß日🙂01.,!<", "the ", " of", "    ", "'s", "\x00", "\r\n", ";\r", "\xa0", "　", "\x85", "\x1c", "\x0b", "x" * 70]
+    for k in range(4000):
+        t = "".join(rng.choice(parts[: 23 if k % 2 else None]) for _ in range(rng.randrange(40)))
+        ids, n = tool.pieces.encode(t), len(tool.bytes.encode_ordinary(t))
+        counts, (a, b, share, _) = tool.measure(t, WordHash())
+        assert counts == fertility.base_counts(t, WordHash())
+        assert (a, b, share) == ((counts[1] / len(ids), counts[1] / max(1, n), tool.is_byte[ids].mean()) if ids else (0, 0, 0)), t
+        try:
+            assert tool.read(t)[1].tolist() == ids
+        except fertility.Odd:
+            odd += 1
+    assert 1000 < odd < 3000 and len(tool) + len(tool.old) <= 128
+    text = "one two three. " * 9
+    tool.read(text)
+    seen = []
+    tool.bytes.encode_ordinary = lambda chunk, inner=tool.bytes.encode_ordinary: seen.append(chunk) or inner(chunk)
+    tool.read(text)
+    assert seen == ["one"]
