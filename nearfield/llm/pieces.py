@@ -61,6 +61,9 @@ def read_vocabulary(path: str | None = None) -> list[tuple[str, float, int]]:
 
 
 class PieceCodec:
+    #: Up to this length the longest matches are searched anew after a shorter one; the search copies the string.
+    SHORT = 256
+
     def __init__(self, vocabulary: list[tuple[str, float, int]], cache_limit: int = 1 << 18):
         self.score = {p: s for p, s, k in vocabulary if k == NORMAL}
         self.id = {p: i for i, (p, s, k) in enumerate(vocabulary) if k == NORMAL}
@@ -76,10 +79,26 @@ class PieceCodec:
         self.controls = {i for i, (_, _, k) in enumerate(vocabulary) if k == CONTROL}
         self.piece = [p for p, _, _ in vocabulary]
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            if self.merge(p) == [p]:  # else merging never makes it of its own characters
-                self.automaton.add_word(p, (len(p) - 1, i))
+        made = {p: i for p, i in self.id.items() if self.merge(p) == [p]}  # merging never makes others of their own characters
+        if not self.alphabet <= made.keys():
+            raise ValueError("a character of a piece is no piece")
+        for p, i in made.items():
+            self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
+        self.size = list(map(len, self.piece))
+        #: By id the longest piece that begins it, which is the next shorter match wherever it matches; else -1.
+        self.shorter = [-1] * len(vocabulary)
+        for p, i in made.items():
+            self.shorter[i] = next((made[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in made), -1)
+        #: A word is cut from the mark after it, unless some piece has the two characters side by side; so it is read
+        #: once whatever follows.
+        before: dict[str, str] = {c: "" for c in map(chr, range(33, 127)) if not c.isalnum()}
+        for x, y in self.inside:
+            if y in before and re.match(r"[^\W\d_]", x):
+                before[y] += re.escape(x)
+        free = "".join(re.escape(c) for c, letters in before.items() if not letters)
+        rest = "".join(f"|(?<![{letters}]){re.escape(c)}" for c, letters in before.items() if letters)
+        self._parts = re.compile(f"▁*+[^\\W\\d_]++(?=[▁\n{free}]|\\Z{rest})|▁+[^▁\n]*|[^▁\n]+|\n").findall
         self._pair, self._known = Generations(cache_limit), Generations(cache_limit)
         self._histories: dict[int, list] = {}  # of one entry a piece at most
 
@@ -145,83 +164,85 @@ class PieceCodec:
             else:
                 return True
 
-    def backtrack(self, text: str) -> list[int]:
-        """The ids of a string over the vocabulary's alphabet."""
-        n, piece, pair = len(text), self.piece, self._pair
-        at: list[list[int]] = [[] for _ in range(n)]
-        for end, (back, i) in self.automaton.iter(text):
-            at[end - back].append(i)  # the ends rise, so each list goes from the shortest to the longest
-        failed, pos, out, untried = bytearray((n >> 3) + 1), 0, [], [len(x) for x in at]
+    def backtrack(self, text: str) -> list[int] | None:
+        """The ids of a string over the vocabulary's alphabet; None if it has other characters."""
+        n, size, shorter, pair, iter_long = len(text), self.size, self.shorter, self._pair, self.automaton.iter_long
+        ahead = found = failed = None
+        if n <= self.SHORT:
+            ahead = iter_long(text)
+        else:
+            found = [-1] * n
+            for end, (back, i) in self.automaton.iter(text):
+                found[end - back] = i  # the ends rise, so the longest comes last
+        pos, out = 0, []
         while pos < n:
-            here = at[pos]
-            k = untried[pos]
-            while k:
-                k -= 1
-                i = here[k]
-                end = pos + len(piece[i])
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    ok = not out or pair.get(out[-1] << 16 | i)
+            if found is None:
+                end, (back, i) = next(ahead, (n, (0, 0)))
+                if end - back != pos:
+                    return None
+                end += 1
+            else:
+                i = found[pos]
+                if i < 0:
+                    return None
+                end = pos + size[i]
+            longest = i
+            while True:
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if not out:
+                        break
+                    key = out[-1] << 16 | i
+                    ok = pair.get(key)
                     if ok is None:
                         ok = self.compatible(out[-1], i)
                     if ok:
                         break
-            else:
-                if not out:
-                    raise ValueError(f"no encoding of {text!r}")
-                failed[pos >> 3] |= 1 << (pos & 7)
-                untried[pos] = len(here)
-                pos -= len(piece[out.pop()])
-                continue
-            untried[pos] = k
+                i = shorter[i]
+                while i < 0:  # nothing that matches here fits: the piece before is given up for a shorter one
+                    if not out:
+                        raise ValueError(f"no encoding of {text!r}")
+                    if failed is None:
+                        failed = bytearray((n >> 3) + 1)
+                    failed[pos >> 3] |= 1 << (pos & 7)
+                    i, longest = out.pop(), -1
+                    pos -= size[i]
+                    i = shorter[i]
+                end = pos + size[i]
             out.append(i)
             pos = end
+            if i != longest and found is None:
+                ahead = iter_long(text, pos)
         return out
 
-    def longest(self, text: str) -> list[int]:
-        """The ids of a string over the vocabulary's alphabet: its longest matches from left to right, if each fits
-        the one before it; else found by backtracking."""
-        ids = [i for _, (_, i) in self.automaton.iter_long(text)]
-        pair = self._pair
-        for key in [a << 16 | b for a, b in zip(ids, ids[1:], strict=False)]:
-            ok = pair.get(key)
-            if ok is None:
-                ok = self.compatible(key >> 16, key & 0xFFFF)
-            if not ok:
-                return self.backtrack(text)
-        return ids
-
-    def _new(self, run: str) -> bytes:
-        if run[0] in self.alphabet:
-            ids = array("H", self.longest(run)).tobytes()
-        else:
-            ids = array("H", [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")]).tobytes()
+    def _new(self, run: str) -> bytes | None:
+        ids = self.backtrack(run)
+        if ids is None:
+            return None
+        packed = array("H", ids).tobytes()
         if len(run) <= 64:  # longer ones seldom return
-            self._known.keep(run, ids)
-        return ids
+            self._known.keep(run, packed)
+        return packed
 
     def _run(self, run: str) -> bytes:
         known = self._known
-        return known.get(run) or known.recall(run) or self._new(run)
+        return known.get(run) or known.recall(run) or self._new(run) or array("H", [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")]).tobytes()
 
     def cut(self, part: str) -> bytes:
-        """The ids of a part that the young cache hasn't, run by run between cuts that no merge crosses."""
-        ids = self._known.recall(part)
+        """The ids of a part that the young cache hasn't; run by run between cuts that no merge crosses, if it has
+        characters outside the vocabulary."""
+        ids = self._known.recall(part) or self._new(part)
         if ids is not None:
             return ids
-        joined = list(map(self.inside.__contains__, map(add, part, part[1:])))
-        if all(joined):
-            return self._new(part)
+        joined = map(self.inside.__contains__, map(add, part, part[1:]))
         cuts = [0, *(k for k, j in enumerate(joined, 1) if not j), len(part)]
         ids = b"".join(self._run(part[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
         if len(part) <= 16:
             self._known.keep(part, ids)
         return ids
 
-    _parts = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
-
     def parts(self, text: str) -> list[str]:
         """The normalised text in parts that encode by themselves."""
-        return self._parts.findall(SPACE + text.replace(" ", SPACE))
+        return self._parts(SPACE + text.replace(" ", SPACE))
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian 16-bit numbers."""

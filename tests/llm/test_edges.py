@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -150,3 +151,23 @@ def test_fertility_by_chunks_equals_the_libraries():
     tool.bytes.encode_ordinary = lambda chunk, inner=tool.bytes.encode_ordinary: seen.append(chunk) or inner(chunk)
     tool.read(text)
     assert seen == ["one"]
+
+
+def test_words_are_cut_from_marks_and_read_once():
+    codec, lib = pieces.PieceCodec(pieces.read_vocabulary()), sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    read, cut = [], codec.cut
+    codec.cut = lambda part: read.append(part) or cut(part)
+    text = " ".join(f"zorvantelquu{mark}" for mark in ["", ".", ",", "###", "&&&", ")", "?!", "", "."])
+    assert codec.encode(text) == lib.encode(text)
+    assert sorted(read) == sorted(["▁zorvantelquu", ".", ",", "###", "&&&", ")", "?!"])
+    rng = random.Random(8)
+    parts = [*"abcdeéß²ªʰıп日한🙂٣059  ▁\n\r\t.,:;!?'()_-#&/", "ing", "tion", "ünd", "вет", "http", "();", "..."]
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert codec.encode(t) == lib.encode(t), t
+    for end in (*"²ʰªéпx日", "²", "e"):
+        for mark in map(chr, range(33, 127)):
+            assert codec.encode(f"ab{end}{mark}c {end}{mark}") == lib.encode(f"ab{end}{mark}c {end}{mark}"), (end, mark)
+    long = "".join(rng.choice("abcdeinorstu") for _ in range(5000))
+    for n in (255, 256, 257, 258, 5000):
+        assert codec.encode(long[:n]) == lib.encode(long[:n]) and codec.encode(long[:n] + "日🙂é") == lib.encode(long[:n] + "日🙂é")
