@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,14 +115,23 @@ def least_risk_margin(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return float((below + cuts[best[-1]]) / 2)
 
 
+def fold_numbers(positive: list[np.ndarray], unlabelled: list[np.ndarray], folds: int) -> tuple[list[int], list[int]]:
+    """The folds of the examples. Equal ones share a fold, also where one is confirmed and the other unlabelled: most
+    confirmed texts are among the unlabelled too."""
+    place: dict[bytes, int] = {}
+    at, also = ([place.setdefault(xxhash.xxh3_128_digest(d), len(place) % folds) for d in docs] for docs in (positive, unlabelled))
+    return at, also
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, folds: int = 3) -> tuple[np.ndarray, float]:
     """The mean of the folds' models, its bias set on margins of examples that a fold's model hasn't seen."""
-    if min(len(positive), len(unlabelled)) < folds:
+    at = fold_numbers(positive, unlabelled, folds)
+    if min(len(set(x)) for x in at) < folds:
         return train_nnpu(positive, unlabelled, prior)
     seen: list[list[float]] = [[], []]
     mean, mean_bias = np.zeros(1 << BITS), 0.0
     for k in range(folds):
-        fit, rest = ([[d for i, d in enumerate(docs) if (i % folds == k) == out] for docs in (positive, unlabelled)] for out in (False, True))
+        fit, rest = ([[d for d, f in zip(docs, of, strict=True) if (f == k) == out] for docs, of in zip((positive, unlabelled), at, strict=True)] for out in (False, True))
         weights, bias = train_nnpu(*fit, prior)
         for margins, docs in zip(seen, rest, strict=True):
             margins += (bias + float(weights[d].sum()) for d in docs)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -171,3 +172,20 @@ def test_words_are_cut_from_marks_and_read_once():
     long = "".join(rng.choice("abcdeinorstu") for _ in range(5000))
     for n in (255, 256, 257, 258, 5000):
         assert codec.encode(long[:n]) == lib.encode(long[:n]) and codec.encode(long[:n] + "日🙂é") == lib.encode(long[:n] + "日🙂é")
+
+
+def test_toxicity_margins_are_of_unseen_texts(monkeypatch):
+    """Texts that are confirmed and unlabelled are in one fold: models that know their texts by heart tell nothing of others."""
+    texts = [np.array([k], np.int32) for k in range(90)]
+    positive, unlabelled = texts[:20] + texts[:3], texts[::-1]
+    seen = []
+
+    def by_heart(known, others, prior):
+        weights = np.zeros(1 << toxicity.BITS)
+        weights[[int(d[0]) for d in known + others]] = 1.0
+        return weights, 0.0
+
+    monkeypatch.setattr(toxicity, "train_nnpu", by_heart)
+    monkeypatch.setattr(toxicity, "least_risk_margin", lambda p, u, prior: seen.extend([p, u]) or 0.0)
+    toxicity.train(positive, unlabelled, 0.2)
+    assert [len(x) for x in seen] == [23, 90] and not any(x.any() for x in seen)
