@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.operators.components import connected_components, contracted
-from nearfield.operators.neighbors import neighbour_counts, radius_chunks, radius_join
+from nearfield.operators.neighbors import collapsed, neighbour_counts, radius_chunks, radius_join
 from nearfield.plans.scratch import Scratch
 from nearfield.points import matrix
 
@@ -47,7 +47,9 @@ def _ball_links(points: DataFrame, radius: float, index: bool | int | None) -> D
         ids, y = np.unique(np.concatenate([ids_a, ids_b])), matrix(b.column("features"))
         label, at_a, at_b = np.arange(len(ids)), np.searchsorted(ids, ids_a), np.searchsorted(ids, ids_b)
         if len(ids_a):
-            for i, j, _ in radius_chunks(matrix(a.column("features")), y, radius):
+            for i, j, _ in radius_chunks(matrix(a.column("features")), y, radius, groups=lambda: (label[at_a], label[at_b])):
+                if not len(i):
+                    continue
                 tied = np.flatnonzero(label != np.arange(len(ids)))
                 label = smallest_reached(np.r_[tied, at_a[i]], np.r_[label[tied], at_b[j]], len(ids))
             tied = np.flatnonzero(label != np.arange(len(ids)))
@@ -93,9 +95,11 @@ def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: b
     The rank of clusters is a window over one row a cluster."""
     scratch = Scratch(points.sparkSession, "dbscan")
     points = points.select("id", "features")
+    both = collapsed(points, scratch, "points", numbered=False)  # one row for all of equal features, where there are many
+    whole, points = points, both[0] if both else points
     counts = neighbour_counts(points, options.radius, index=index)
     flag = counts.select("id", (F.col("n") > options.min_samples).cast("long").alias("core"))
-    marked = scratch.save(points.join(flag, "id", "left").fillna(0, ["core"]), "marked")
+    marked = scratch.save(points.select("id", "features").join(flag, "id", "left").fillna(0, ["core"]), "marked")
     core = marked.where("core = 1").select("id")
     links = scratch.save(_ball_links(marked, options.radius, index), "links")
     forest = scratch.save(contracted(links.where("border = 0"), "u", "v"), "forest")
@@ -106,10 +110,14 @@ def dbscan(points: DataFrame, options: DbscanOptions = DbscanOptions(), index: b
     comp = core.join(comp, core["id"] == comp["node"], "left").select("id", F.coalesce("component", "id").alias("entry"))
     entries = comp.select("entry").distinct().withColumn("label", F.row_number().over(Window.orderBy("entry")).cast("long"))
     comp = scratch.save(comp.join(entries, "entry"), "comp")
-    scratch.keep("comp", "links")
+    scratch.keep("comp", "links", "points-all")
     border = links.where("border = 1").select(F.col("u").alias("q"), F.col("v").alias("id")).join(comp, "id")
+    if both:  # entries are smallest ids of copies, so what holds for a row holds for its copies, but for the border rule
+        copies = both[1].withColumnRenamed("id", "copy")
+        border = border.join(copies, border["q"] == copies["rep"]).select(F.col("copy").alias("q"), "id", "entry", "label")
+        comp = comp.join(copies, comp["id"] == copies["rep"]).select(F.col("copy").alias("id"), "label")
     if options.border == "ordered":  # the smallest neighbour of a part is its entry if the entry is a neighbour
         border = border.where((F.col("entry") < F.col("q")) | (F.col("id") == F.col("entry")))
     border = border.groupBy(F.col("q").alias("id")).agg(F.min("label").alias("label"))
     labelled = comp.select("id", "label").union(border)
-    return points.select("id").join(labelled, "id", "left").select("id", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+    return whole.select("id").join(labelled, "id", "left").select("id", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
