@@ -60,6 +60,22 @@ def test_leaves_give_way_where_boxes_say_nothing(spark, monkeypatch):
     assert all(name in ("placed", "visits0", "best0", "best1") for name in tree.scratch.saved)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_trees_by_lists(spark, monkeypatch, k):
+    """Far groups and copies use up the lists, so that rows are searched anew."""
+    monkeypatch.setattr(hierarchy, "LIST", 3)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.2, (15, 3)) for c in ((0, 0, 0), (6, 0, 0), (0, 6, 0), (6, 6, 1))])
+    x[20:26] = x[20]
+    d = dist(x)
+    core = np.sort(d, 1)[:, k - 1]
+    w = np.maximum(d, np.maximum(core[:, None], core)) if k > 1 else d
+    rows = hierarchy.spanning_tree(frame(spark, x), k, index=8).collect()
+    small = hierarchy.spanning_tree(frame(spark, x), k, index=False).collect()
+    assert (sum(r.weight for r in rows), len(rows)) == (pytest.approx(kruskal(w)[0]), 59)
+    assert sorted((r.i, r.j, round(r.weight, 9)) for r in rows) == sorted((r.i, r.j, round(r.weight, 9)) for r in small)
+
+
 def test_copies_are_asked_once(spark):
     rng = np.random.default_rng(6)
     x = np.repeat(np.round(rng.random((40, 2)) * 3, 1), 4, 0)[rng.permutation(160)]
@@ -74,3 +90,11 @@ def test_copies_are_asked_once(spark):
     for radius, few in ((0.15, 4), (0.25, 12)):
         labels = [r.label for r in density.dbscan(p, density.DbscanOptions(radius, few), index=16).orderBy("id").collect()]
         assert labels == sequential_dbscan(d, radius, few)
+
+
+def test_pairs_are_made_with_their_weight(spark, cloud):  # noqa: F811
+    x, p = cloud
+    want = hierarchy.mutual_reachability(neighbors.pairwise(p), hierarchy.core_distances(p, 5))
+    got = hierarchy.mutual_reachability_matrix(p, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Parquet")[0].split("CoGroup")[0]
