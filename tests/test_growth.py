@@ -76,6 +76,22 @@ def test_trees_by_lists(spark, monkeypatch, k):
     assert sorted((r.i, r.j, round(r.weight, 9)) for r in rows) == sorted((r.i, r.j, round(r.weight, 9)) for r in small)
 
 
+def test_medoids_beyond_one_task(spark, cloud, monkeypatch):  # noqa: F811
+    x, p = cloud
+    d = dist(x)
+    build = [r.id for r in kmedoids.kmedoids(p, 3, method="build").orderBy("cluster").collect()]
+    monkeypatch.setattr(kmedoids, "ONE_TASK", 20)
+    assert [r.id for r in kmedoids.kmedoids(p, 3, method="build").orderBy("cluster").collect()] == build
+    for k in (1, 2, 4):
+        ratio = lambda ids: (lambda s: np.divide(s[:, 0], s[:, 1], out=np.zeros(60), where=s[:, 1] > 0).sum())(np.sort(d[:, ids], 1))
+        found = [r.id for r in kmedoids.kmedoids(p, k, method="msc", start=list(range(k))).orderBy("cluster").collect()]
+        if k == 1:
+            assert found == [0]
+        else:
+            best = min(ratio([c if j == i else m for j, m in enumerate(found)]) for i in range(k) for c in range(60) if c not in found)
+            assert ratio(found) <= best + 1e-9 and ratio(found) < ratio(list(range(k)))
+
+
 def test_copies_are_asked_once(spark):
     rng = np.random.default_rng(6)
     x = np.repeat(np.round(rng.random((40, 2)) * 3, 1), 4, 0)[rng.permutation(160)]
