@@ -92,7 +92,9 @@ def test_medoids_beyond_one_task(spark, cloud, monkeypatch):  # noqa: F811
             assert ratio(found) <= best + 1e-9 and ratio(found) < ratio(list(range(k)))
 
 
-def test_copies_are_asked_once(spark):
+def test_copies_are_asked_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "IDS_A_ROW", 3)
+    monkeypatch.setattr(neighbors, "ROWS_A_TASK", 200)
     rng = np.random.default_rng(6)
     x = np.repeat(np.round(rng.random((40, 2)) * 3, 1), 4, 0)[rng.permutation(160)]
     p, d = frame(spark, x).persist(), dist(x)
